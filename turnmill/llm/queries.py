@@ -19,3 +19,31 @@ def p2_found(t):
     from turnmill.llm import p2_near
 
     return p2_near.near_pairs(t("exchanges"), t("staged"))
+
+
+@LLM.add("p9_found")
+def p9_found(t):
+    from turnmill.llm import p9_leaks
+
+    return p9_leaks.leaks(t("documents"), t("eval_items"))
+
+
+@LLM.add("p9_edited")
+def p9_edited(t):
+    from turnmill.llm import p9_leaks
+
+    return p9_leaks.leaks(t("documents"), t("eval_items"), window=24, edits=2)
+
+
+@LLM.add("p10_found")
+def p10_found(t):
+    from turnmill.llm import p10_repetition
+
+    return p10_repetition.found(t("documents"))
+
+
+@LLM.add("p10_repetition")
+def p10_repetition_(t):
+    from turnmill.llm import p10_repetition
+
+    return p10_repetition.repetition(t("documents")).drop("pattern")

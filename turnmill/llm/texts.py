@@ -53,13 +53,13 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and end code point of every word."""
+def _words(text: str, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and end code point of every word, and the number of marks before it."""
     global _chars
     c = _chars = _chars or _Chars()
     codes = codes_of(text)
     if not len(codes):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     low = np.minimum(codes, c.LIMIT - 1)
     alnum, value = c.alnum[low], c.value[low]
     if len(high := np.flatnonzero(codes >= c.LIMIT)):
@@ -70,15 +70,19 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate(([0], alnum.view(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * c.power[: len(codes)])))
-    return mix((total[end] - total[start]) * c.inverse[start]), start, end
+    before = np.cumsum(np.isin(codes, marks))[start] if marks is not None else start
+    return mix((total[end] - total[start]) * c.inverse[start]), start, end, before
 
 
-def word_spans(texts: list[str | None], at_once: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end (code points within its text) of all words of all texts, and the offsets of the texts in them (len(texts) + 1).
+def word_spans(texts: list[str | None], marks: str = "", at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end (code points within its text) of all words of all texts, the offsets of the texts in them
+    (len(texts) + 1), and the running number of the piece between two ``marks`` that a word lies in (texts lie in pieces of their own if "\\n" is a mark).
 
     Null and empty texts have no words. Texts are worked on whole, about ``at_once`` code points at a time.
     """
-    hashes, starts, stops, counts = [], [], [], np.zeros(len(texts), np.int64)
+    hashes, starts, stops, pieces, counts = [], [], [], [], np.zeros(len(texts), np.int64)
+    codes = np.array([ord(x) for x in marks], np.uint32) if marks else None
+    piece = 0
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -86,22 +90,24 @@ def word_spans(texts: list[str | None], at_once: int = 1 << 19) -> tuple[np.ndar
             size += len(texts[j] or "") + 1
             j += 1
         part = [t or "" for t in texts[i:j]]
-        h, s, e = _words("\n".join(part))
+        h, s, e, before = _words("\n".join(part), codes)
         begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in part])))
         owner = np.searchsorted(begin, s, side="right") - 1
         counts[i:j] = np.bincount(owner, minlength=j - i)
         hashes.append(h)
         starts.append(s - begin[owner])
         stops.append(e - begin[owner])
+        pieces.append(before + piece)
+        piece += size
         i = j
     if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(stops), np.concatenate(([0], np.cumsum(counts)))
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(stops), np.concatenate(([0], np.cumsum(counts))), np.concatenate(pieces)
 
 
 def word_arrays(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and the offsets of the texts (len(texts) + 1)."""
-    h, _, _, ends = word_spans(texts)
+    h, _, _, ends, _ = word_spans(texts)
     return h, ends
 
 
