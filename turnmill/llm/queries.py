@@ -47,3 +47,10 @@ def p10_repetition_(t):
     from turnmill.llm import p10_repetition
 
     return p10_repetition.repetition(t("documents")).drop("pattern")
+
+
+@LLM.add("p8_packing")
+def p8_packing_(t):
+    from turnmill.llm import p8_packing
+
+    return p8_packing.packing(t("documents"), t("pack_sizes"))
