@@ -28,7 +28,7 @@ K = 3  # words a shingle
 MIN_WORDS = 20
 T = 0.5
 #: A shingle of more than this share of the classes of a task (and of at least COMMON_LEAST) is common.
-COMMON, COMMON_LEAST = 0.005, 24
+COMMON, COMMON_LEAST = 0.02, 24
 #: Sets with fewer shingles than this give every shingle as a key, which misses no pair.
 SMALL = 8
 HOT = 2000
