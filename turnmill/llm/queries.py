@@ -54,3 +54,10 @@ def p8_packing_(t):
     from turnmill.llm import p8_packing
 
     return p8_packing.packing(t("documents"), t("pack_sizes"))
+
+
+@LLM.add("p7_found")
+def p7_found(t):
+    from turnmill.llm import p7_pairs
+
+    return p7_pairs.defects(t("exchanges"))
