@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.llm.texts import mix, runs, word_arrays
-from turnmill.session import tasks, written
+from turnmill.session import small, tasks, written
 
 K = 3  # words a shingle
 MIN_WORDS = 20
@@ -288,7 +288,8 @@ def verified(feats: DataFrame, pairs: DataFrame, threshold: float = T) -> DataFr
     """(a, b, likeness) of the pairs of classes that reach the threshold."""
     pairs = written(pairs, "candidates")
     need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = rows_of(feats).select("cid", "sh").join(need, "cid", "left_semi").dropDuplicates(["cid"])
+    # few enough classes are sent to the sets; else the sets are shuffled
+    sets = rows_of(feats).select("cid", "sh").join(small(need), "cid", "left_semi").dropDuplicates(["cid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

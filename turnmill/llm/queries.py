@@ -61,3 +61,17 @@ def p7_found(t):
     from turnmill.llm import p7_pairs
 
     return p7_pairs.defects(t("exchanges"))
+
+
+@LLM.add("p3_found")
+def p3_found(t):
+    from turnmill.llm import p3_quality
+
+    return p3_quality.found(t("staged"))
+
+
+@LLM.add("p3_statistics")
+def p3_statistics(t):
+    from turnmill.llm import p3_quality
+
+    return p3_quality.statistics(t("staged"))
