@@ -39,6 +39,11 @@ FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 CLOSED = re.compile(r"```.*?```", re.S)
 SOLID = re.compile(r"[^\W_]")
 
+def is_cells(line: str) -> bool:
+    """Whether a line is a row of cells: the marks are looked for before the expression is run."""
+    return ("|" in line or "\t" in line or ";" in line or "   " in line or ("," in line and ", " not in line)) and bool(CELLS.search(line) or RULE.match(line))
+
+
 #: Inspected examples: kind and answer.
 EXAMPLES = (
     ("prose", "You can start the server from the menu. After that it takes a minute until the page answers. If it does not, look at the log and try again."),
@@ -83,7 +88,7 @@ def measures(answers: list[str], tab: tuple[np.ndarray, np.ndarray]) -> np.ndarr
         for x in rows:
             t = x.rstrip()
             words = len(t.split())
-            if (CELLS.search(t) and 2 * len(SOLID.findall(t)) >= len(t.replace(" ", "").replace("|", "").replace("\t", ""))) or RULE.match(t):
+            if is_cells(t) and (2 * len(SOLID.findall(t)) >= len(t.replace(" ", "").replace("|", "").replace("\t", "")) or RULE.match(t)):
                 cells += 1
             elif (ENTRY.match(t) and words <= 14) or (words <= 7 and t[-1] not in ".?!:,"):
                 entries += 1

@@ -75,3 +75,17 @@ def p3_statistics(t):
     from turnmill.llm import p3_quality
 
     return p3_quality.statistics(t("staged"))
+
+
+@LLM.add("p4_found")
+def p4_found(t):
+    from turnmill.llm import p4_language
+
+    return p4_language.found(t("staged"))
+
+
+@LLM.add("p4_segments")
+def p4_segments(t):
+    from turnmill.llm import p4_language
+
+    return p4_language.segments(t("staged"))
