@@ -89,3 +89,17 @@ def p4_segments(t):
     from turnmill.llm import p4_language
 
     return p4_language.segments(t("staged"))
+
+
+@LLM.add("p5_found")
+def p5_found(t):
+    from turnmill.llm import p5_pii
+
+    return p5_pii.found(t("exchanges"), t("staged"), t("sample_messages"), t("known_names"))
+
+
+@LLM.add("p5_redacted")
+def p5_redacted(t):
+    from turnmill.llm import p5_pii
+
+    return p5_pii.redacted(t("exchanges"), t("staged"), t("sample_messages"), t("known_names"))
