@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.llm import stopwords
 from turnmill.llm.texts import messages_of, turns_of
 
 KINDS = ("email", "address", "id_number", "phone", "name")
@@ -136,6 +137,8 @@ _ES_HINT = tuple(x for x in re.sub(r"\\.?\??", "", _ES.lower()).split("|") if le
 def addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
     loose = text == low or text.isupper()
     for m in (_EN_LOOSE if loose or _SHOUTED.search(text) else _EN_CAP).finditer(text):
+        if re.search(r"\w\w\. ", m[0]) or not _FUNCTION.isdisjoint(m[0].lower().split()[1:-1]) and not re.search(_FR, m[0], re.I):
+            continue
         if loose or m[0] == m[0].upper() or _EN_CAP.match(text, m.start()):
             yield m.span()
     if any(x in low for x in _ES_HINT):
@@ -146,6 +149,7 @@ def addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+_FUNCTION = {w for x in stopwords.WORDS.values() for w in x.split()} - {"west", "east"}
 _SHOUTED = re.compile(r"\d [A-Z]{2,} [A-Z]{2,}")
 
 # Shapes of the numbers of identity documents.
@@ -226,7 +230,7 @@ class Names:
             if w[-2:] in ("'s", "’s"):
                 w = w[:-2]
             low = w.lower()
-            kind = "i" if w[1:] == "." else self._kind(low) or ("u" if len(w) > 2 and not (low in TITLES or low in CUES or low in ORDINARY) else "")
+            kind = "i" if w[1:] == "." else self._kind(low) or ("u" if len(w) > 2 and not (_PART.search(w) or low in TITLES or low in CUES or low in ORDINARY) else "")
             if kind:
                 parts.append((m.start(), m.start() + len(w), low, kind))
         out = []
@@ -295,6 +299,10 @@ def _begins(text: str, a: int) -> bool:
     return not before.strip() and (not before or "\n" in before or a <= 3) or before.rstrip(" \"“'")[-1:] in (".", "?", "!", ":", ";", "\n", "|", ">", "…", "¿", "¡")
 
 
+#: A word with a lower-case part behind a hyphen is a verb and its pronoun, not a name.
+_PART = re.compile(r"-[a-zß-ÿ]")
+
+
 def learn(df: DataFrame, known: DataFrame) -> Names:
     """Known names, and words that stand like family or given names beside them (see above)."""
     rows = known.where("name is not null").select(F.lower("name").alias("name"), "kind").distinct().limit(200_001).collect()
@@ -309,11 +317,11 @@ def learn(df: DataFrame, known: DataFrame) -> Names:
                 for _, text in _texts(tbl, body):
                     for m in PAIR.finditer(text):
                         x, y = m[1].lower(), m[2].lower()
-                        if m[1].isupper() or x in ORDINARY or y in ORDINARY:
+                        if m[1].isupper() or x in ORDINARY or y in ORDINARY or _PART.search(m[1]):
                             continue
                         if x in given and y not in family and y not in given:
                             seen[y, "family", x] += 1
-                        elif y in family and x not in given and x not in family and x not in TITLES and x not in CUES:
+                        elif y in family and x not in given and x not in family and x not in TITLES and x not in CUES and not _begins(text, m.start()):
                             seen[x, "given", y] += 1
             if len(seen) > 200_000:
                 yield _counted(seen)
