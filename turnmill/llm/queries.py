@@ -103,3 +103,24 @@ def p5_redacted(t):
     from turnmill.llm import p5_pii
 
     return p5_pii.redacted(t("exchanges"), t("staged"), t("sample_messages"), t("known_names"))
+
+
+@LLM.add("p6_found")
+def p6_found(t):
+    from turnmill.llm import p6_toxic
+
+    return p6_toxic.found(t("staged"), t("labels"), t("flag_terms"))
+
+
+@LLM.add("p6_scores")
+def p6_scores(t):
+    from turnmill.llm import p6_toxic
+
+    return p6_toxic.scores(t("staged"), t("labels"), t("flag_terms"))
+
+
+@LLM.add("p6_rates")
+def p6_rates(t):
+    from turnmill.llm import p6_toxic
+
+    return p6_toxic.rates(t("staged"), t("exchanges"), t("sessions"), t("labels"), t("flag_terms"))
