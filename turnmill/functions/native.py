@@ -45,7 +45,7 @@ def reduce_urls(text: Column) -> Column:
 
 def redact_cards(text: Column) -> Column:
     """[CREDIT_CARD] for numbers of 13 digits or more that pass the Luhn check; a separator after the number goes with it."""
-    return replace_matches(text, P.CARD, lambda m: F.when(F.luhn_check(F.regexp_replace(m, "[ -]", "")), F.lit("[CREDIT_CARD]")).otherwise(m))
+    return replace_matches(text, P.CARD, lambda m: F.when(F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")), F.lit("[CREDIT_CARD]")).otherwise(m))
 
 
 def captured_path(path: Column) -> Column:
