@@ -163,7 +163,7 @@ def _map(df: DataFrame, parse, content: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    return spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
 
 
 def read_messages_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -189,7 +189,7 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
 
 def read_threads(spark: SparkSession, path: str) -> DataFrame:
     """A file messages.jsonl a conversation, a message a line, below the path at any depth."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "messages.jsonl").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="messages.jsonl")
     return _map(files.withColumn("file", F.col("_metadata.file_path")), _thread, "value")
 
 
