@@ -44,6 +44,7 @@ RECORD = re.compile(r"^\s*[{\[<]|[}\]>]\s*$|^\s*[\w.+-]+@\S+,|^\S*[=;{}]\S*$")
 #: Letters that have a place of their own; all else is a gap.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäçèéêëìíîïñòóôõöùúûüýÿßœæ"
 GRAMS = 64**3
+GAP = 63
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +73,14 @@ def grams(sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c = _place[codes]
     # runs of gaps count as one gap
     keep = (c > 0) | np.concatenate(([True], c[:-1] > 0)) | np.concatenate(([True], owner[1:] != owner[:-1]))
-    c, owner = c[keep], owner[keep]
+    c, owner = np.where(c[keep] == 0, GAP, c[keep]), owner[keep]
     if len(c) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64), words
     inside = owner[2:] == owner[:-2]
     three = _distinct(((owner[:-2] << 18) | (c[:-2] << 12) | (c[1:-1] << 6) | c[2:])[inside])
     two = _distinct((three >> 18 << 18) | ((three >> 6) & 0xFFF))
     one = _distinct((two >> 18 << 18) | ((two >> 6) & 0x3F))
-    # the places of 1- and 2-grams are those of 3-grams that begin with gaps, which don't occur (gaps come single)
+    # no letter has the place 0, so 1-, 2- and 3-grams have places of their own
     key = np.concatenate((three, two, one))
     return key & 0x3FFFF, key >> 18, words
 

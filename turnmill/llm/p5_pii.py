@@ -116,13 +116,14 @@ EMAIL = re.compile(rf"(?<![\w.+-])[\w+][\w.+'-]*@{_LABEL}(?:\.{_LABEL})*\.[^\W\d
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w’'-]*"
 # Kinds of streets, by how they stand in an address.
-_EN = r"Street|St|Road|Rd|Avenue|Ave|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Crescent|Cres|Terrace|Ter|Place|Pl|Square|Sq|Way|Close|Cl|Gardens|Gdns|Grove|Gr|Hill|Row|Walk|Mews|Parade|Circle|Cir|Parkway|Pkwy|Highway|Hwy|Alley|Quay|Rise|Green|Park|Trail|Loop"
+_EN_FULL = r"Street|Road|Avenue|Boulevard|Lane|Drive|Court|Crescent|Terrace|Place|Square|Way|Close|Gardens|Grove|Hill|Row|Walk|Mews|Parade|Circle|Parkway|Highway|Alley|Quay|Rise|Green|Park|Trail|Loop"
+_EN_SHORT = r"St|Rd|Ave|Blvd|Ln|Dr|Ct|Cres|Ter|Pl|Sq|Cl|Gdns|Gr|Cir|Pkwy|Hwy"
 _FR = r"rue|avenue|av\.|boulevard|bd\.?|boul\.|chemin|ch\.|place|pl\.|impasse|imp\.|allée|all\.|quai|route|rte|cours|passage|square|sentier|ruelle|faubourg|esplanade|promenade"
 _ES = r"Calle|C/|C\.|Avenida|Avda\.?|Av\.|Plaza|Pza\.|Paseo|Pº|Camino|Carrera|Ronda|Travesía|Callejón|Rua|R\.|Travessa|Trav\.|Praça|Pç\.|Largo|Lg\.|Estrada|Alameda|Al\.|Beco|Calçada|Rúa|Vía|Via"
 _DE = r"straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|chaussee|steig|stieg|pfad|hof|berg|graben|markt|brücke|tor|winkel|zeile"
 # Each begins with a plain character class, so that the engine can skip to it; what may not stand before follows as a look behind.
 _NUMBER_FIRST = (
-    rf"\d(?<![\w.,:/#-]\d)(?<!\d \d)\d{{0,4}}(?:(?<=\d)[a-zA-Z])?,? (?:(?:<CAP>\.? ){{1,4}}?(?:{_EN})(?:\.(?=[\s,;:)\"']|$)|\b)(?![\w-])"
+    rf"\d(?<![\w.,:/#-]\d)(?<!\d \d)\d{{0,4}}(?:(?<=\d)[a-zA-Z])?,? (?:(?:<CAP>\.? ){{1,4}}?(?:(?:{_EN_FULL})\b|(?:{_EN_SHORT})(?:\.(?=[\s,;:)\"']|$)|\b))(?![\w-])"
     rf"|(?:bis |ter )?(?i:{_FR}) (?:(?i:de la|de l['’]|de|du|des|d['’]|la|le|les|l['’])[ ]?)*<CAP>(?:[ ]<CAP>){{0,3}})"
 )
 _ES_WORDS = re.compile(rf"(?<!\w)(?i:{_ES})[ ]?(?:(?i:de la|de los|de las|del|de|do|da|dos|das|la|el|los|las)[ ])*{_CAP}(?:[ ]{_CAP}){{0,3}},?[ ](?:(?i:n[.ºo°]{{1,2}}|núm\.|número|numero)[ ]?)?\d{{1,5}}(?:[a-zA-Z])?(?![\w-])")
