@@ -6,7 +6,7 @@ highest marginal, a record its highest sentence; the offending words come with t
 
 The field is trained on labelled tokens. Labels are given to records, not to tokens, and raters err, so tokens are labelled from a bounded
 sample of labelled records (at most LABELS of them, by the hash of the label id): the words of a sentence are tagged with a
-category if most of its runs of three words occur, in several records, mostly in records labelled toxic, or if it has a flag term
+category if most of its runs of three words occur mostly in records labelled toxic (more than by chance), or if it has a flag term
 and its record is labelled with the term's category; all other sentences of records labelled clean are O. Sentences of toxic records that are neither are left out.
 
 Results: ``scores``: (staged_id, abuse, hate, sexual, spans), a row a record that parses; ``found``: categories with a score of THRESHOLD or more.
@@ -16,6 +16,7 @@ without toxic labels nothing is found.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -234,6 +235,11 @@ def train(sents: list[list[str]], tags: list[np.ndarray], rounds: int = ROUNDS,
     return Field(emit, trans)
 
 
+def _tail(n: int, of: int, base: float) -> float:
+    """Probability of n or more of ``of`` at a rate of base."""
+    return sum(math.comb(of, k) * base**k * (1 - base) ** (of - k) for k in range(n, of + 1)) if of < 200 else 0.0
+
+
 def labelled(records: list[tuple[str, int, str | None]], terms: list[tuple[str, str]]) -> tuple[list[list[str]], list[np.ndarray]]:
     """Tagged sentences from (turns, toxic, category) of labelled records and (term, category)."""
     split = [[s for _, c in turns_of(t) or [] for s in sentences(c)] for t, _, _ in records]
@@ -251,7 +257,10 @@ def labelled(records: list[tuple[str, int, str | None]], terms: list[tuple[str,
             counted |= whole
         elif label == 0:
             clean.update(keys)
-    share = {k: n / (n + clean[k]) for k, n in toxic.items() if n >= LEAST}
+    # by chance, under one run in as many as there are toxic records may look associated
+    base = sum(label == 1 for _, label, _ in records) / max(1, sum(label in (0, 1) for _, label, _ in records))
+    rare = 1 / max(1, sum(label == 1 for _, label, _ in records))
+    share = {k: n / (n + clean[k]) for k, n in toxic.items() if n >= LEAST and n >= SHARE * (n + clean[k]) and _tail(n, n + clean[k], base) <= rare}
     strong = lambda s: (k := runs(s)) and len(k) >= 2 and sum(share.get(x, 0) >= SHARE for x in k) >= max(2, 0.45 * len(k))
     # a run's category: that of the records of which it is the only toxic sentence; others count little
     kinds: dict[str, Counter] = defaultdict(Counter)

@@ -76,6 +76,7 @@ SIGN_OFF = re.compile(
 )
 EMOTICON = re.compile(r"[:;=8xX][-o']?[)(DPpO\]}]$|[←-⯿\U0001f000-\U0001faff]️?$|<3$|\^\^$")
 ABBREVIATION = re.compile(r"(?:^|[\s(])(?:nr|no|núm|nº|n\.º|bzw|z\.\s?b|ca|dr|prof|mr|mrs|ms|sr|sra|mme|st|etw|evtl|e\.g|i\.e|p\.\s?ex|p\.\s?ej|vs|fig|approx)\.$", re.I)
+FENCE = re.compile(r"```|^~~~", re.M)
 ITEM = re.compile(r"^\s*(?:[-*+•‣◦–—→▪●○·>»#☐☑✓✔]|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)\]:]|\d{1,2}/)\s*\S")
 CELLS = re.compile(r"\||\t|;\S|\S;|\s{3,}\S|^\s*(?:[\w.-]+,){2,}")
 
@@ -157,15 +158,13 @@ def refuses(answer: str) -> bool:
 
 def stops_short(answer: str, prose: bool) -> bool:
     """Whether the answer stops inside a code block, or inside a sentence or word of prose."""
-    fence = None
-    for line in answer.splitlines():
-        t = line.lstrip()
-        if fence is None and t.startswith(("```", "~~~")):
-            if t.count(t[:3]) == 1:
-                fence = t[:3]
-        elif fence and t.startswith(fence):
-            fence = None
-    if fence:
+    stack: list[str] = []
+    for m in FENCE.findall(answer):
+        if stack and stack[-1] == m:
+            stack.pop()
+        elif not stack:
+            stack.append(m)
+    if stack:
         return True
     lines = [x for x in answer.split("\n") if INVISIBLE.sub("", x)]
     last = lines[-1].strip().strip("​﻿ ")
