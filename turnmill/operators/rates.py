@@ -35,10 +35,20 @@ def cooldown(df: DataFrame, key: str, ts: str, hours: int = 1) -> DataFrame:
 
 
 def ttl_first(df: DataFrame, keys: list[str], ts: str, order: str, days: int = 30) -> DataFrame:
-    """Rows with no row of the same keys in the days before: the previous row decides."""
-    w = Window.partitionBy(*keys).orderBy(ts, order)
-    prev = F.lag(ts).over(w)
-    return df.withColumn("_prev", prev).where(F.col("_prev").isNull() | (F.col(ts) > F.col("_prev") + F.expr(f"interval {days} days"))).drop("_prev")
+    """Rows with no row of the same keys in the days before: the previous row decides.
+
+    A key is cut into days, so that a hot key is sorted by many tasks: within a day the row before is next to it, and before
+    a day's first row comes the last row of the key's last day, which a small table of (key, day) has. Null keys are equal to each other.
+    """
+    day = df.withColumn("_day", F.to_date(ts))
+    last = day.groupBy(*keys, "_day").agg(F.max(ts).alias("_max"))
+    last = last.withColumn("_before", F.lag("_max").over(Window.partitionBy(*keys).orderBy("_day"))).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_day").alias("_d"), "_before")
+    same = F.col("_day").eqNullSafe(F.col("_d"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    j = day.join(last, same)
+    prev = F.coalesce(F.lag(ts).over(Window.partitionBy(*keys, "_day").orderBy(ts, order)), F.col("_before"))
+    return j.withColumn("_prev", prev).where(F.col("_prev").isNull() | (F.col(ts) > F.col("_prev") + F.expr(f"interval {days} days"))).select(df.columns)
 
 
 def decay(events: DataFrame, key: str, violation: Column, start: int = 3) -> DataFrame:

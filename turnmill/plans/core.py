@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from turnmill.functions import native as N
 from turnmill.functions import patterns as P
@@ -481,8 +480,11 @@ o AS (SELECT event_id, user_id, CASE WHEN value * 100000 > 2097152 THEN 413 WHEN
 
 def outcomes(t):
     e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    over = lambda *k: Window.partitionBy(*k)
-    e = e.withColumn("mn", F.count("*").over(over(F.date_trunc("minute", "ts")))).withColumn("hn", F.count("*").over(over("user_id", F.date_trunc("hour", "ts")))).withColumn("first", F.min("ts").over(over("user_id"))).withColumn("rn", F.row_number().over(over("user_id", "event_type", "value").orderBy("ts", "event_id")))
+    # counts and firsts are aggregates joined back: they are partial before the shuffle, a window would sort hot keys whole
+    e = e.withColumn("minute", F.date_trunc("minute", "ts")).withColumn("hour", F.date_trunc("hour", "ts"))
+    e = e.join(e.groupBy("minute").agg(F.count("*").alias("mn")), "minute").join(e.groupBy("user_id", "hour").agg(F.count("*").alias("hn")), ["user_id", "hour"]).join(e.groupBy("user_id").agg(F.min("ts").alias("first")), "user_id")
+    one = e.groupBy("user_id", "event_type", "value").agg(F.min(F.struct("ts", "event_id")).alias("one"))
+    e = e.join(one, ["user_id", "event_type", "value"]).withColumn("rn", F.when(F.struct("ts", "event_id") == F.col("one"), 1).otherwise(2))
     age = F.unix_micros("ts") / 1e6 - F.unix_micros("first") / 1e6
     status = rates.upload_outcome(F.col("value") * 100000, F.col("user_id") % 10 != 0, age, F.col("mn"), F.col("hn"), F.lit(10), F.col("rn") > 1, F.col("event_type") != "error", F.col("event_id") % 50 != 0)
     return e.select("event_id", "user_id", status.alias("status"))
