@@ -128,6 +128,7 @@ NAMES = p5_pii.Names({"orvella", "rose", "mark", "tobren"}, {"holmbeck", "brånv
         ("ask Tobren Unseenname about", [("name", "Tobren Unseenname")]),
         ("MY NAME IS MARK BRÅNVIK AND I", [("name", "MARK BRÅNVIK")]),
         ("Rose bushes need water. Mark every row. In Holmbeck it rains", []),
+        ("Hi, this is orvella b. holmbeck, again", [("name", "orvella b. holmbeck")]),
         ("a poem for Rose, who is nine", [("name", "Rose")]),
         ("[NAME_1] wrote to [EMAIL] from [ADDRESS]", []),
         ("Ho​lmbeck said so", [("name", "Ho​lmbeck")]),

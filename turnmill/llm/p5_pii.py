@@ -219,6 +219,11 @@ class Names:
                 out = [m.span() for m in self.any.finditer(text)]
         elif not self.all.isdisjoint(w.lower().removesuffix("'s").removesuffix("’s") for w in WORDS.findall(text)):
             out = self._capital(text)
+        if text != low and self.any:
+            w = text.split()
+            # names in lower case count only as given and family name in a row
+            if any(a in self.given and (b.rstrip(".,;:?!") in self.family or b[1:] == ".") for a, b in zip(w, w[1:], strict=False)):
+                out += [m.span() for m in self.any.finditer(text)]
         return [(a, z) for a, z in out if not any(s < z and a < e for s, e in taken)]
 
     def _kind(self, low: str) -> str:
