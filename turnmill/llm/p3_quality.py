@@ -38,12 +38,20 @@ RULE = re.compile(r"^[\s|:+=-]{3,}$")
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 CLOSED = re.compile(r"```.*?```", re.S)
 SOLID = re.compile(r"[^\W_]")
+PARTS = re.compile(r"\||\t|;|,(?! )|\s{3,}")
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 
 def is_cells(line: str) -> bool:
     """Whether a line is a row of cells: the marks are looked for before the expression is run."""
     return ("|" in line or "\t" in line or ";" in line or "   " in line or ("," in line and ", " not in line)) and bool(CELLS.search(line) or RULE.match(line))
 
 
+def in_cells(line: str) -> bool:
+    """Whether a row's cells are short, as they are in a table, and mostly letters and digits."""
+    parts = [p for p in PARTS.split(line) if p.strip()]
+    return bool(RULE.match(line)) or len(parts) >= 2 and all(len(p.split()) <= 4 for p in parts) and 2 * len(SOLID.findall(line)) >= sum(map(len, parts))
+
+
 #: Inspected examples: kind and answer.
 EXAMPLES = (
     ("prose", "You can start the server from the menu. After that it takes a minute until the page answers. If it does not, look at the log and try again."),
@@ -88,12 +96,14 @@ def measures(answers: list[str], tab: tuple[np.ndarray, np.ndarray]) -> np.ndarr
         for x in rows:
             t = x.rstrip()
             words = len(t.split())
-            if is_cells(t) and (2 * len(SOLID.findall(t)) >= len(t.replace(" ", "").replace("|", "").replace("\t", "")) or RULE.match(t)):
+            if "<" in t and not SOLID.search(TAG.sub("", t)):
+                continue  # left-over markup is neither
+            if is_cells(t) and in_cells(t):
                 cells += 1
             elif (ENTRY.match(t) and words <= 14) or (words <= 7 and t[-1] not in ".?!:,"):
                 entries += 1
             ended += t[-1] in ".?!…"
-        lines[i] = entries, cells, ended, max(1, len(rows) + max(0, code))
+        lines[i] = entries, cells if cells > 1 else 0, ended, max(1, len(rows) + max(0, code))
         solid[i] = len(a) - a.count(" ") - a.count("\n")
     total = lines[:, 3]
     return np.stack((lines[:, 0] / total, lines[:, 1] / total, common / np.maximum(size, 1), np.clip(1 - length / np.maximum(solid, 1), 0, 1), np.log1p(length / np.maximum(size, 1)), lines[:, 2] / total, np.log1p(size / total), distinct / np.maximum(size, 1), size, solid), 1)
