@@ -142,3 +142,11 @@ def test_scores(spark):
     assert sorted((r["id"], r["problem"]) for r in scoring.problems(cases).collect()) == [("a", "guard"), ("a", "offset"), ("a", "repeated")]
     f = spark.createDataFrame([("a", 7, 9), ("b", 0, 3)], "id string, start int, end int")
     assert scoring.overlaps(f, cases.limit(1)).count() == 1
+
+
+def test_routes_and_ladder(spark):
+    df = spark.createDataFrame([(200,), (422,), (429,), (500,)], "status int")
+    assert [tuple(r["r"]) for r in df.select(lifecycle.route(F.col("status")).alias("r")).collect()] == [("ok", "continue"), ("rejected", "isolate"), ("rate_limited", "stop"), ("error", "stop")]
+    assert df.select(lifecycle.backoff_seconds(F.lit(20)).alias("s")).first()["s"] == 300
+    scores = spark.createDataFrame([(0.86, 0.9), (0.2, 0.81), (0.85, 0.8), (None, None)], "toxicity double, threat double")
+    assert [r[0] for r in scores.select(N.ladder({c: F.col(c) for c in scores.columns})).collect()] == ["ml_toxicity", "ml_threat", None, None]

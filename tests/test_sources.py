@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from turnmill.sources import formats, importer, trees
+from turnmill.sources import formats, importer, sinks, trees
 from turnmill.streaming import windows
 
 
@@ -101,3 +101,16 @@ def test_streams_equal_batch(spark, tmp_path):
     assert {r["key"]: r["tier"] for r in last.collect()} == {k: 1 if any(b for x, _, b in all_rows if x == k) else 3 for k in range(7)}
     live = spark.createDataFrame([("/x/api/chat/", 200), ("/api/chat?a", 204), ("/api/chat", 500), ("/api/chats", 200)], "path string, status int")
     assert windows.captures(live).count() == 2
+
+
+def test_batches_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([("a", dt.datetime(2025, 1, 1), None), ("b", dt.datetime(2025, 1, 2), "en")], "id string, at timestamp, language string")
+    sinks.write_batches(df, str(tmp_path / "out"), "at")
+    lines = [json.loads(r["line"]) for r in sinks.read_uploads(spark, str(tmp_path / "out")).collect()]
+    assert sorted((x["id"], x["language"]) for x in lines) == [("a", None), ("b", "en")]
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "x.jsonl").write_text("x" * (sinks.MOST_BYTES + 1))
+    assert sinks.read_uploads(spark, str(tmp_path / "big")).count() == 0
+    index = spark.createDataFrame([("data/batch_2025-01-01_ab12.jsonl", 1), ("data/other.jsonl", 2)], "file string, n int")
+    left, done = sinks.purge_batches(index, index.select("file"))
+    assert [r["n"] for r in left.collect()] == [2] and {r["file"]: r["deleted"] for r in done.collect()}["data/other.jsonl"] is False

@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from turnmill.functions import patterns as P
 
@@ -180,6 +180,30 @@ scrub_udf = F.pandas_udf(_series(scrub), StringType())
 check_pii_udf = F.pandas_udf(_series(check_pii), StringType())
 
 
+def _lists(f):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda xs: None if xs is None else [f(x) for x in xs])
+
+    return run
+
+
+#: The texts of an array, each on its own: turns are scrubbed where they are, without taking a conversation apart and together again.
+scrub_all_udf = F.pandas_udf(_lists(scrub), ArrayType(StringType()))
+
+
+def check_all_udf(rules: Blocklist):
+    """Category of the first text of an array that is blocked."""
+    compiled: list = []
+
+    def check(xs) -> str | None:
+        if not compiled:
+            compiled.extend((c, re.compile(p, re.I)) for c, p in rules.rules)
+        return next((c for x in xs if (c := check_content(x, compiled))), None)
+
+    return F.pandas_udf(_series(check), StringType())
+
+
 def check_content_udf(rules: Blocklist):
     compiled: list = []
 

@@ -148,3 +148,20 @@ def next_step(stats: DataFrame) -> DataFrame:
     """What to do next, from the counts of pipeline_stats."""
     step = F.when(F.col("raw") > 0, "process").when(F.col("pending") > 0, "review").when(F.col("approved") > 0, "upload").when(F.col("dead_letters") > 0, "retry").otherwise("nothing")
     return stats.withColumn("next_step", step)
+
+
+#: What an upload's status leads to: the chunk is done, its rows are sent one by one, or the run stops and the leases are freed.
+ROUTES = {200: ("ok", "continue"), 409: ("ok", "continue"), 400: ("rejected", "isolate"), 413: ("rejected", "isolate"), 422: ("rejected", "isolate"), 401: ("auth", "stop"), 403: ("auth", "stop"), 503: ("ner_unavailable", "stop"), 429: ("rate_limited", "stop")}
+
+
+def route(status: Column) -> Column:
+    """(outcome, action) of a status; unknown ones are errors that stop the run."""
+    pair = F.struct(F.lit("error").alias("outcome"), F.lit("stop").alias("action"))
+    for code, (outcome, action) in ROUTES.items():
+        pair = F.when(status == code, F.struct(F.lit(outcome).alias("outcome"), F.lit(action).alias("action"))).otherwise(pair)
+    return pair
+
+
+def backoff_seconds(attempt: Column, most: int = 300) -> Column:
+    """Least wait before a retry; up to half a second of noise comes on top."""
+    return F.least(F.pow(F.lit(2.0), attempt), F.lit(float(most)))

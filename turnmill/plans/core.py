@@ -313,8 +313,9 @@ def scrub_documents(t):
 
 @add("scrub_turns")
 def scrub_turns(t):
-    x = turns(t).select("id", F.posexplode("t").alias("turn", "x")).select("id", "turn", "x.role", S.scrub_udf("x.content").alias("content"))
-    return x.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("turns"))
+    texts = S.scrub_all_udf(F.transform("t", lambda x: x["content"]))
+    x = turns(t).select("id", "t", texts.alias("c"))
+    return x.select("id", F.zip_with("t", "c", lambda a, c: F.struct(a["role"].alias("role"), c.alias("content"))).alias("turns"))
 
 
 @add("gate_check_pii")
@@ -330,9 +331,8 @@ def round_trip_law(t):
 
 @add("content_filter_flags")
 def content_filter_flags(t):
-    check = S.check_content_udf(S.Blocklist.load())
-    x = turns(t).select("id", F.posexplode("t").alias("turn", "x")).select("id", "turn", check("x.content").alias("category"))
-    return x.where("category is not null").groupBy("id").agg(F.min(F.struct("turn", "category"))["category"].alias("category"))
+    check = S.check_all_udf(S.Blocklist.load())
+    return turns(t).select("id", check(F.transform("t", lambda x: x["content"])).alias("category")).where("category is not null")
 
 
 def _published_lines(t):
@@ -638,6 +638,22 @@ def scanner_score(t):
     return s.select(*(F.col(c).cast("int").alias(c) for c in ("hits", "total", "recall_pct", "false_positives", "guards", "over_redaction_pct")))
 
 
+@add("plain_scanner_score", "SELECT 3 AS hits, 4 AS total, 75 AS recall_pct, 0 AS false_positives, 2 AS guards, 0 AS over_redaction_pct")
+def plain_scanner_score(t):
+    s = scoring.score(corpus(t("region").sparkSession), scoring.plain_scrub(F.col("input")))
+    return s.select(*(F.col(c).cast("int").alias(c) for c in ("hits", "total", "recall_pct", "false_positives", "guards", "over_redaction_pct")))
+
+
+@add("upload_routes", OUTCOME + " SELECT CASE WHEN status IN (200, 409) THEN 'ok' WHEN status IN (400, 413, 422) THEN 'rejected' WHEN status IN (401, 403) THEN 'auth' WHEN status = 503 THEN 'ner_unavailable' WHEN status = 429 THEN 'rate_limited' ELSE 'error' END AS outcome, count(*) AS n FROM o GROUP BY 1")
+def upload_routes(t):
+    return outcomes(t).groupBy(L.route(F.col("status"))["outcome"].alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@add("burst_limit", "WITH c AS (SELECT user_id, date_trunc('minute', ts)::TIMESTAMP AS window_start, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, window_start, n, least(n, 60) AS allowed, greatest(n - 60, 0) AS rejected FROM c")
+def burst_limit(t):
+    return rates.over_limit(rates.windowed(t("events"), "ts", "minute", "user_id"), F.lit(60).cast("long"))
+
+
 @add("flag_rate")
 def flag_rate(t):
     return scoring.flag_rate(t("documents"), "source", "text", S.scrub_udf("text"))
