@@ -90,22 +90,45 @@ def reduce_urls(text: str) -> str:
     return _URL.sub(host, text) if "://" in text else text
 
 
+# What a text must contain for a pattern to match at all, in lower case: most passes end with this look.
+_VENDOR_NEED = ("sk-", "sk-ant-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "akia", "hf_", "npm_", "pypi-", "aiza", "ya29.", "ac", "sk", "sk_live_", "pk_live_", "rk_live_", "sg.", "dop_v1_", "eyj")
+_BLOCK_NEED = (("private key",), ("private key",), ("private key",), ("private key",), ("://",), ("authorization:",), ("accountkey=",), ("sharedaccesskey=",), ("token", "key", "secret", "password", "passwd"), ("private",), ("signature=",), ("sig=",))
+_PATH_NEED = ("/users/", "/home/", "c:\\users\\", "/root")
+_LONG = re.compile(r"[A-Za-z0-9+/._=-]{24}")
+_LOOKS = {p: re.compile(q) for p, q in ((P.EMAIL, "@"), (P.SSN, r"\d-\d\d-\d"), (P.PHONE, r"\d\d\d\)?[-.\s]?\d\d\d[-.\s]?\d\d\d\d"), (P.PHONE_INTL, r"\+\d"), (P.IPV4, r"\d\.\d{1,3}\.\d"), (P.ADDRESS, r"\d\s+[A-Za-z]"), (P.STATE_ZIP, r"[A-Z]\s+\d{5}"))}
+_CARD_LOOK, _IPV6_LOOK = re.compile(r"\d(?:[ -]?\d){12}"), re.compile(r":[0-9A-Fa-f]{0,4}:")
+
+
+def _blocks(low: str) -> Iterator[re.Pattern]:
+    for p, need in zip(_BLOCK, _BLOCK_NEED, strict=True):
+        if any(x in low for x in need):
+            yield p
+
+
 def scrub_secrets(text: str, words: frozenset[str] | None = None) -> str:
     words = dictionary() if words is None else words
-    for p in (*_VENDOR, *_BLOCK):
+    low = text.lower()
+    for p, need in zip(_VENDOR, _VENDOR_NEED, strict=True):
+        if need in low:
+            text = p.sub("[SECRET]", text)
+    for p in _blocks(low):
         text = p.sub("[SECRET]", text)
-    for p in _PATHS:
-        text = p.sub("[PATH]", text)
-    for p, kind in ((_BASE64, "base64"), (_DOTTED, "dotted"), (_GENERIC, "generic")):
+    for p, need in zip(_PATHS, _PATH_NEED, strict=True):
+        if need in low:
+            text = p.sub("[PATH]", text)
+    for p, kind in ((_BASE64, "base64"), (_DOTTED, "dotted"), (_GENERIC, "generic")) if _LONG.search(text) else ():
         text = p.sub(lambda m, kind=kind: "[SECRET]" if _random(m[0], kind, words) else m[0], text)
     return text
 
 
 def redact_pii(text: str) -> str:
-    text = _CARD.sub(lambda m: "[CREDIT_CARD]" if _luhn(re.sub(r"\D", "", m[0])) else m[0], text)
-    text = _IPV6.sub(lambda m: "[IP]" if any(c.isdigit() for c in m[0]) else m[0], text)
+    if _CARD_LOOK.search(text):
+        text = _CARD.sub(lambda m: "[CREDIT_CARD]" if _luhn(re.sub(r"\D", "", m[0])) else m[0], text)
+    if _IPV6_LOOK.search(text):
+        text = _IPV6.sub(lambda m: "[IP]" if any(c.isdigit() for c in m[0]) else m[0], text)
     for p, tag in _STRUCTURED:
-        text = p.sub(tag, text)
+        if _LOOKS[p.pattern].search(text):
+            text = p.sub(tag, text)
     return text
 
 
@@ -114,6 +137,15 @@ def scrub(text: str | None, words: frozenset[str] | None = None) -> str | None:
     return None if text is None else redact_pii(scrub_secrets(reduce_urls(normalise(text)), words))
 
 
+_NEEDS = {p: (n,) for p, n in zip(P.VENDOR, _VENDOR_NEED, strict=True)} | dict(zip(P.BLOCK, _BLOCK_NEED, strict=True)) | {p: (n,) for p, n in zip(P.HOME_DIRS, _PATH_NEED, strict=True)}
+
+
+def _needed(p: re.Pattern, text: str, low: str) -> bool:
+    if p.pattern in _NEEDS:
+        return any(x in low for x in _NEEDS[p.pattern])
+    return p.pattern not in _LOOKS or _LOOKS[p.pattern].search(text) is not None
+
+
 _GATE = [(kind, [re.compile(p) for p in ps]) for kind, ps in P.GATE]
 _KNOWN = re.compile(r"\[(?:EMAIL|PHONE|LOCATION|DATE|ADDRESS|GROUP|SSN|IP|SECRET|PATH|CREDIT_CARD|IBAN|MEDICAL_ID|DRIVER_LICENSE|REDACTED|URL)\]|\[URL:(?:[a-z0-9.-]+|suspicious)\]|\[NAME_\d+\]")
 _GATE_SPACE = str.maketrans(dict.fromkeys("\x1c\x1d\x1e\x1f\x85", " "))
@@ -125,14 +157,15 @@ def check_pii(text: str | None, words: frozenset[str] | None = None) -> str | No
         return None
     words = dictionary() if words is None else words
     t = _KNOWN.sub(" X ", normalise(text).translate(_GATE_SPACE))
+    low = t.lower()
     for kind, ps in _GATE:
-        if any(p.search(t) for p in ps):
+        if any(_needed(p, t, low) and p.search(t) for p in ps):
             return kind
-    if any(len(d) >= 13 and _luhn(d) for m in _CARD.finditer(t) if (d := re.sub(r"\D", "", m[0]))):
+    if _CARD_LOOK.search(t) and any(len(d) >= 13 and _luhn(d) for m in _CARD.finditer(t) if (d := re.sub(r"\D", "", m[0]))):
         return "credit_card"
-    if any(c.isdigit() for m in _IPV6.finditer(t) for c in m[0]):
+    if _IPV6_LOOK.search(t) and any(c.isdigit() for m in _IPV6.finditer(t) for c in m[0]):
         return "ip"
-    if any(_random(m[0], kind, words) for p, kind in ((_BASE64, "base64"), (_DOTTED, "dotted")) for m in p.finditer(t)):
+    if _LONG.search(t) and any(_random(m[0], kind, words) for p, kind in ((_BASE64, "base64"), (_DOTTED, "dotted")) for m in p.finditer(t)):
         return "high_entropy_secret"
     return None
 
