@@ -586,7 +586,7 @@ EDGES = "e AS (SELECT line_no, i AS node, CASE WHEN i = 0 THEN NULL WHEN i % 3 =
 w AS (SELECT line_no, node, 1 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT w.line_no, c.node, w.depth + 1 FROM w JOIN c ON c.line_no = w.line_no AND c.parent = w.node)
 SELECT line_no, max(depth)::BIGINT AS depth, sum(node)::BIGINT AS nodes FROM w GROUP BY 1""")
 def tree_first_child(t):
-    e = _edges(t)
+    e = _unlimited(_edges(t))
     e.createOrReplaceTempView("_tm_edges")
     return e.sparkSession.sql(
         "WITH RECURSIVE c AS (SELECT line_no, parent, min(node) AS node FROM _tm_edges WHERE parent IS NOT NULL GROUP BY line_no, parent), "
@@ -595,6 +595,13 @@ def tree_first_child(t):
     )
 
 
+def _unlimited(df):
+    """Recursion ends with the tree, not at Spark's limits of levels and rows."""
+    for name in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        df.sparkSession.conf.set(name, "-1")
+    return df
+
+
 def _edges(t):
     x = t("sample_messages").where(F.size("messages") > 0).select("line_no", F.posexplode("messages").alias("node", "m"))
     parent = F.when(F.col("node") == 0, None).when(F.col("node") % 3 == 0, F.col("node") - 2).otherwise(F.col("node") - 1)
@@ -604,7 +611,7 @@ def _edges(t):
 @add("tree_active_branch", f"""WITH RECURSIVE {EDGES}, w AS (SELECT line_no, node, parent, 1 AS depth FROM e WHERE (line_no, node) IN (SELECT (line_no, max(node)) FROM e GROUP BY line_no)
 UNION ALL SELECT e.line_no, e.node, e.parent, w.depth + 1 FROM w JOIN e ON e.line_no = w.line_no AND e.node = w.parent) SELECT line_no, max(depth)::BIGINT AS depth, sum(node)::BIGINT AS nodes FROM w GROUP BY 1""")
 def tree_active_branch(t):
-    e = _edges(t)
+    e = _unlimited(_edges(t))
     e.createOrReplaceTempView("_tm_edges2")
     return e.sparkSession.sql(
         "WITH RECURSIVE l AS (SELECT line_no, max(node) AS node FROM _tm_edges2 GROUP BY line_no), "
