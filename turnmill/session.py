@@ -14,6 +14,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 _folders: dict[str, SparkSession] = {}
+_temporary: str | None = None
 
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -31,11 +32,12 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Where it is unset, as in tests, a temporary one is set."""
-    if not (d := spark.conf.get("spark.checkpoint.dir", None)):
-        d = "file://" + tempfile.mkdtemp(prefix="turnmill-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, as in tests, a temporary one is taken for the whole process."""
+    global _temporary
+    if d := spark.conf.get("spark.checkpoint.dir", None):
+        return d.rstrip("/")
+    _temporary = _temporary or "file://" + tempfile.mkdtemp(prefix="turnmill-")
+    return _temporary
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
