@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +49,14 @@ _LEET = str.maketrans("4@3105$7!|", "aaeiosstii")
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _DIGIT_OR_MARK = re.compile(r"[\d@$!|]")
 _LETTER = re.compile(r"[^\W\d_]")
+_ENDING = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def plain(token: str) -> str:
-    """A lower-case token without its disguises."""
+    """A lower-case token without its disguises and the marks at its ends; the end of a sentence stays."""
+    if token == ".":
+        return token
+    token = _ENDING.sub("", token)
     if not token.isalpha():
         if _LETTER.search(token):
             if _DIGIT_OR_MARK.search(token):
@@ -75,35 +80,64 @@ class Tokens(dict):
 _tokens = Tokens()
 
 
+#: ASCII marks that part words; those of TOKEN inside words stay, and fall off a word's ends in ``plain``.
+_PARTING = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum() and c not in "@$!|'-. "})
+_BANG = re.compile(r"!(?![^\W_])|(?<![^\W_])!")
+_UNUSUAL = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_TABLE)) + "]")
+
+
+def _spaced(tokens: list[str]) -> bool:
+    """Whether three tokens in a row are single characters (ends of sentences among them: a first look)."""
+    long = max(map(len, tokens), default=0) > 255
+    return b"\1\1\1" in bytes((min(len(t), 2) for t in tokens) if long else map(len, tokens))
+
+
 def sentences(text: str) -> list[list[str]]:
     """Plain words of the sentences of a text."""
-    out: list[list[str]] = [[]]
-    singles = 0
-    for t in TOKEN.findall(text.translate(_TABLE).lower() if not text.isascii() or "*" in text or "_" in text else text.lower()):
-        if t in ".?!\n":
-            singles = 0
-            if out[-1]:
-                out.append([])
-            continue
-        last = out[-1]
-        if len(t) == 1:
-            singles += 1
-            last.append(t)
-            continue
-        if singles >= 3:
-            last[-singles:] = [plain("".join(last[-singles:]))]
-        singles = 0
-        last.append(_tokens[t])
-    if singles >= 3 and out[-1]:
-        out[-1][-singles:] = [plain("".join(out[-1][-singles:]))]
-    return [s for s in out if s]
+    low = (text.translate(_TABLE) if _UNUSUAL.search(text) else text).lower()
+    if "!" in low:
+        low = _BANG.sub(" . ", low)
+    tokens = low.replace(".", " . ").replace("?", " . ").replace("\n", " . ").translate(_PARTING).split()
+    words = list(map(_tokens.__getitem__, tokens))
+    if "" in words:
+        tokens = [t for t, w in zip(tokens, words, strict=True) if w]
+        words = [w for w in words if w]
+    if _spaced(tokens):
+        tokens, words = _despaced(tokens, words)
+    out, a = [], 0
+    for i in [i for i, t in enumerate(tokens) if t == "."]:
+        if i > a:
+            out.append(words[a:i])
+        a = i + 1
+    if a < len(words):
+        out.append(words[a:])
+    return out
+
+
+def _despaced(tokens: list[str], words: list[str]) -> tuple[list[str], list[str]]:
+    """Three single characters or more in a row are one word."""
+    t2, w2, i = [], [], 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and len(tokens[j]) == 1 and tokens[j] != ".":
+            j += 1
+        if j - i >= 3:
+            t2.append("".join(tokens[i:j]))
+            w2.append(plain(t2[-1]))
+        else:
+            j = max(j, i + 1)
+            t2 += tokens[i:j]
+            w2 += words[i:j]
+        i = j
+    return t2, w2
 
 
 class Hashes(dict):
     def __missing__(self, w: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        # signed, so that numpy takes it as it is
+        h = self[w] = (xxhash.xxh3_64_intdigest(w) ^ (1 << 63)) - (1 << 63)
         return h
 
 
@@ -115,7 +149,7 @@ def features(sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of each word (a row each), and the offsets of the sentences."""
     ends = np.concatenate(([0], np.cumsum([len(s) for s in sents])))
     n = int(ends[-1])
-    h = np.fromiter((_hashes[w] for s in sents for w in s), np.uint64, n)
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(sents)), np.int64, n).view(np.uint64)
     edge = np.uint64(0xABCDEF)
     first, last = ends[:-1], ends[1:] - 1
     prev = np.concatenate(([edge], h[:-1])) if n else h
