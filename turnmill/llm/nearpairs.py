@@ -29,11 +29,14 @@ MIN_WORDS = 20
 T = 0.5
 #: A shingle of more than this share of the classes of a task (and of at least COMMON_LEAST) is common.
 COMMON, COMMON_LEAST = 0.02, 24
-#: Sets with fewer shingles than this give every shingle as a key, which misses no pair.
+#: Pairs with a set of fewer shingles than this meet in every shingle, which misses none.
 SMALL = 8
+#: Share of shingles that are not common from which a set gives no keys of common ones alone.
+MOSTLY_RARE = 0.6
 HOT = 2000
 
-Keys = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Keys of sets, from the hash and the set of each shingle, the sizes of the sets, and whether a shingle may stand without another kind in a key.
+Keys = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 FEATURES = "tbl int, id string, grp int, cid long, n int, sh binary, seen int"
 
@@ -123,19 +126,20 @@ def _is_in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def keys_of(sh: np.ndarray, at: np.ndarray, common: np.ndarray, salt: np.ndarray, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set, and the index of the set: of its shingles that are not common; also of all of them where under 60 % are not; every shingle for sets below SMALL."""
+    """Keys of each set, and the index of the set: of all its shingles, common ones included; every shingle for sets below 2 * SMALL.
+
+    A key of nothing but common shingles tells little; it is left out for sets of which at least MOSTLY_RARE are not common, as these have few such keys.
+    """
     n = np.diff(at)
     owner = np.repeat(np.arange(len(n)), n)
     rare = ~_is_in(sh, common)
-    left = np.bincount(owner[rare], minlength=len(n))
-    out = []
-    for pick, sets, variant in ((rare, left >= SMALL, 1), (np.ones(len(sh), bool), (left < 0.6 * n) & (n >= SMALL), 2)):
-        m = pick & sets[owner]
-        k, o = keys(mix(sh[m].astype(np.uint64)), owner[m], left if variant == 1 else n)
-        out.append((mix(k ^ salt[o] ^ mix(np.full(1, variant, np.uint64))), o))
-    single = (left < SMALL)[owner] & (rare | (n < 2 * SMALL)[owner])
-    out.append((mix(mix(sh[single].astype(np.uint64)) ^ salt[owner[single]] ^ np.uint64(3)), owner[single]))
-    return np.concatenate([k for k, _ in out]), np.concatenate([o for _, o in out])
+    tells = rare | (np.bincount(owner[rare], minlength=len(n)) < MOSTLY_RARE * n)[owner]
+    m = (n >= SMALL)[owner]
+    k, o = keys(mix(sh[m].astype(np.uint64)), owner[m], n, tells[m])
+    # a set below SMALL can only be like sets below 2 * SMALL
+    single = (n < 2 * SMALL)[owner]
+    one = mix(mix(sh[single].astype(np.uint64)) ^ salt[owner[single]] ^ np.uint64(3))
+    return np.concatenate((mix(k ^ salt[o] ^ mix(np.full(1, 1, np.uint64))), one)), np.concatenate((o, owner[single]))
 
 
 def agreements(feats: DataFrame, common: np.ndarray, keys: Keys, by_group: bool) -> DataFrame:
