@@ -282,3 +282,13 @@ def test_defects_of_a_table(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "id string, request_json string, response_json string, defect string")
     assert sorted(map(tuple, p7_pairs.defects(df).collect())) == [("a", "empty"), ("b", "echo"), ("g", "empty")]
     assert p7_pairs.defects(df.limit(0)).count() == 0
+
+
+def test_whole_sentences_have_marginals():
+    """A field whose runs span whole sentences: ways in and out are unlikely."""
+    emit, trans = np.zeros(((1 << p6_toxic.BITS) + 1, p6_toxic.STATES)), np.zeros((p6_toxic.STATES, p6_toxic.STATES))
+    emit[-1, 1] = 2
+    trans[0, 1] = trans[1, 0] = -6
+    trans[1, 1] = 3
+    m, _ = p6_toxic.Field(emit, trans).marginals([["word"]])
+    assert abs(m[0, 0] - np.exp(2) / (np.exp(2) + 3)) < 1e-5

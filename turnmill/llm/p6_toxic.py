@@ -37,8 +37,6 @@ LABELS = 12_000
 NEGATIVES = 14_000
 BITS = 16
 THRESHOLD = 0.5
-#: Sentences whose best run of tagged words has log odds below this are given no marginals.
-FAR = -3.5
 ROUNDS = 20
 #: A run of three words is associated if so many records have it and such a share of them is toxic.
 LEAST, SHARE = 3, 0.7
@@ -170,7 +168,7 @@ class Field:
         self.emit, self.trans = emit.astype(np.float32), trans
 
     def marginals(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of the categories for each word, and the offsets of the sentences. Sentences that can't come near a category (FAR) get 0."""
+        """Marginals of the categories for each word, and the offsets of the sentences."""
         x, ends = features(sents)
         score = np.zeros((len(x), STATES), np.float32)
         for k in range(x.shape[1]):
@@ -179,14 +177,7 @@ class Field:
         out = np.zeros((len(x), STATES - 1), np.float32)
         if not len(x):
             return out, ends
-        # the odds of any run of tagged words are at most e^bound: its emissions' leads over O (with the transitions inside), and its way in and out
-        t = self.trans
-        inside = max(t[c, c] for c in range(1, STATES))
-        ways = max(max(t[0, c] + t[c, 0] - t[0, 0] - t[c, c], t[c, 0] - t[c, c], t[0, c] - t[c, c]) for c in range(1, STATES))
-        lead = score[:, 1:].max(1) - score[:, 0] + (max(inside, t[1:, 1:].max()) - t[0, 0])
-        most = np.maximum.reduceat(lead, ends[:-1])
-        bound = np.where(most > 0, np.add.reduceat(np.maximum(lead, 0), ends[:-1]), most) + ways
-        keep = np.flatnonzero(bound > FAR)
+        keep = np.arange(len(ends) - 1)
         length = np.diff(ends)
         for group in np.array_split(keep[np.argsort(length[keep], kind="stable")], max(1, len(keep) // 256)):
             if len(group):
