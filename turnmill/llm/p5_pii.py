@@ -56,7 +56,7 @@ _DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|ponto)\s?[\])}>]\s?|\s(?:dot|D
 _DISGUISED = re.compile(rf"(?<![\w.+-])[\w.+'-]*[\w+]{_AT}{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
 _AT_OR_DOT = re.compile(rf"{_AT}|{_DOT}", re.I)
 #: A bare "at" counts only beside a disguised dot.
-_MAY_AT = ("[at", "(at", "{at", "<at", "( at", "[ at", "arroba", "arobase", " dot ", "(dot", "[dot", "{dot", " punkt ", "(punkt", " punto ", "(punto", " point ", "(point", " ponto ", "(ponto")
+_MAY_AT = re.compile(r"\s@|@\s|[\[({<]\s?(?:at|ät|arroba|arobase|dot|punkt|punto|point|ponto)|\s(?:arroba|arobase|dot|punkt|punto|point|ponto)\s", re.I)
 
 
 class Plain:
@@ -93,8 +93,7 @@ def normalise(text: str) -> Plain:
             p = p.rewrite(gone)
     if _may_spell(low := p.text.lower()) and (found := list(_SPELLED.finditer(low))):
         p = p.rewrite([(m.start(), m.end(), "".join(_DIGIT[w.lower()] for w in _SPELLED_ONE.findall(m[0]))) for m in found])
-    low = p.text.lower()
-    if any(x in low for x in _MAY_AT) and (found := list(_DISGUISED.finditer(p.text))):
+    if _MAY_AT.search(p.text) and (found := list(_DISGUISED.finditer(p.text))):
         changes = []
         for m in found:
             first = True
@@ -131,8 +130,8 @@ _DE_WORDS = re.compile(rf"[A-ZÄÖÜ](?<![\w-].)[\w-]*(?: (?:Straße|Strasse|Str
 _DE_END = re.compile(rf"(?i:{_DE})[ ]\d")
 _EN_CAP = re.compile(_NUMBER_FIRST.replace("<CAP>", _CAP))
 _EN_LOOSE = re.compile(_NUMBER_FIRST.replace("<CAP>", r"(?!(?:the|a|an|of|and|or|to|in|on|is|are|was|more)\b)[\w’'-]+"), re.I)
-#: Their beginnings in lower case: looked for before the expression is run.
-_ES_HINT = tuple(x for x in re.sub(r"\\.?\??", "", _ES.lower()).split("|") if len(x) > 3) + ("c/", " c. ", "av.", "avda", " r. ", "lg.", "al.", "rua", "vía", "via")
+#: Their beginnings alone: looked for before the expression is run.
+_ES_HINT = re.compile(rf"(?<!\w)(?:{_ES})", re.I)
 
 
 def addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
@@ -142,7 +141,7 @@ def addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
             continue
         if loose or m[0] == m[0].upper() or _EN_CAP.match(text, m.start()):
             yield m.span()
-    if any(x in low for x in _ES_HINT):
+    if _ES_HINT.search(text):
         for m in _ES_WORDS.finditer(text):
             yield m.span()
     for m in _DE_WORDS.finditer(text):
@@ -363,13 +362,13 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
     if "@" in t:
         for m in EMAIL.finditer(t):
             add(m.start(), m.end(), "email")
-    if _DIGITS.search(t):
+    if _DIGIT_ANY.search(t):
         for a, z in addresses(t, low):
             add(a, z, "address")
         for m in ID_SHAPE.finditer(t):
             if not THING.search(t[max(0, m.start() - 24) : m.start()]):
                 add(m.start(), m.end(), "id_number")
-        if any(x in low for x in _ID_HINT):
+        if _ID_HINT.search(t):
             for m in ID_LABEL.finditer(t):
                 v = m["v"]
                 if not DATE.match(v) and not re.search(r"row[ _]id|order|error", m[0], re.I) and not re.search(r"(?:row|order|error|line|session|user|message|request|process)[ _-]?$", t[: m.start()][-12:], re.I):
@@ -383,8 +382,9 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-_DIGITS = re.compile(r"\d{2}")
-_ID_HINT = ("passport", "identi", "social", "insurance", "ssn", "ausweis", "reisepass", "passeport", "pasaporte", "passaporte", "dni", "cpf", "nif", "nie", "cédula", "sécurité", "doc", " id ", "id:", 'id"', "tax", "licence n", "license n")
+_DIGIT_ANY = re.compile(r"\d")
+#: The labels that ID_LABEL begins with, without what follows.
+_ID_HINT = re.compile(ID_LABEL.pattern[: ID_LABEL.pattern.index("(?i:[")].removeprefix("(?i:").removesuffix(")"), re.I)
 _PLACEHOLDER = re.compile(r"\[[A-Z][A-Z_]*(?:_\d+)?(?::[^\]]*)?\]")
 
 
