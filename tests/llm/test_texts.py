@@ -285,6 +285,13 @@ def test_defects_of_a_table(spark):
     assert p7_pairs.defects(df.limit(0)).count() == 0
 
 
+def test_long_refusals_and_short_echoes():
+    long = "I'm sorry, but I can't help with that. " * 20
+    answers, asked = [long, "Guten Morgen", "Guten Morgen"], ["How do I do it?", "Guten Morgen!", "Guten Abend"]
+    assert p7_pairs._judge(answers, asked, [[x] for x in asked], stopwords.table())[:2] == ["refusal", "echo"]
+    assert p7_pairs._judge(answers, asked, [[x] for x in asked], stopwords.table())[2] != "echo"
+
+
 def test_whole_sentences_have_marginals():
     """A field whose runs span whole sentences: ways in and out are unlikely."""
     emit, trans = np.zeros(((1 << p6_toxic.BITS) + 1, p6_toxic.STATES)), np.zeros((p6_toxic.STATES, p6_toxic.STATES))

@@ -5,7 +5,7 @@ Each exchange gets at most one defect, the first that holds:
 - ``empty``: the answer has no visible character.
 - ``refusal``: every sentence of the answer is accepted by the refusal or the courtesy automaton (compiled patterns over five languages), one at least by the former.
 - ``echo``: the answer runs through the suffix automaton of the words of the last user message; the words in common runs of RUN words or more
-  make up most of the answer and a good part of the message.
+  make up most of the answer and a good part of the message; an answer of under four words is an echo if its words are those of the message.
 - ``wrong_language``: votes of function words give the answer one language and the user another, and the user names the answer's language nowhere.
 - ``truncated``: a code fence is left open (a stack of delimiters), or the last line is prose and stops without an end: no list, table, junk or sign-off.
 
@@ -237,9 +237,12 @@ def _judge(answers: list[str], lasts: list[str], users: list[list[str]], tab: tu
     va, vu = stopwords.votes(aw, ae, tab), stopwords.votes(uw, ue, tab)
     out: list[str | None] = []
     for i, a in enumerate(answers):
-        if size[i] <= 120 and refuses(a):
+        if refuses(a):
             out.append("refusal")
             continue
+        if 0 < size[i] < 4 and np.array_equal(aw[ae[i] : ae[i + 1]], uw[ue[i] : ue[i + 1]]):  # too short for runs
+            out.append("echo")
+            continue
         if bound[i] >= COPIED_ANSWER and size[i] >= 4:
             theirs, own = SuffixAutomaton(uw[ue[i] : ue[i + 1]].tolist()).coverage(aw[ae[i] : ae[i + 1]].tolist(), RUN)
             if theirs >= COPIED_ANSWER and own >= COPIED_PROMPT:
