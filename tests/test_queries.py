@@ -60,3 +60,13 @@ def test_entry_without_the_subpackage(monkeypatch):
 
     monkeypatch.setattr(importlib, "import_module", missing)
     assert set(e.queries()) == set(CORE.queries)
+
+
+def test_too_many_terms_or_names_raise(spark):
+    from turnmill.plans import core
+
+    terms = spark.range(10_001).selectExpr("id as term_id", "concat('t', id) as term", "'abuse' as category", "1.0d as weight")
+    names = spark.range(200_001).selectExpr("id as name_id", "concat('n', id) as name", "'given' as kind")
+    for query, table in ((core.toxicity_ladder, terms), (core.ner_scrub_documents, names)):
+        with pytest.raises(ValueError):
+            query.__wrapped__(lambda _, x=table: x)

@@ -350,7 +350,9 @@ def fitted(staged: DataFrame, labels: DataFrame, flag_terms: DataFrame) -> Field
     one = one.where("toxic <> 0.5").orderBy("h").limit(LABELS)
     rows = staged.select(F.col("id").alias("staged_id"), "scrubbed_turns").join(F.broadcast(one), "staged_id").select("scrubbed_turns", F.col("toxic").cast("double"), "category").collect()
     records = sorted(((r["scrubbed_turns"] or "", int(r["toxic"] > 0.5), r["category"]) for r in rows), key=lambda r: (r[0], r[1], r[2] or ""))
-    terms = [(r["term"], r["category"]) for r in flag_terms.where("term is not null").select("term", "category").distinct().limit(10_000).collect()]
+    terms = [(r["term"], r["category"]) for r in flag_terms.where("term is not null").select("term", "category").distinct().limit(10_001).collect()]
+    if len(terms) > 10_000:
+        raise ValueError("more flag terms than are looked for")
     sents, tags = labelled(records, sorted(terms, key=str))
     if not any(t[0] > 0 for t in tags):
         return None

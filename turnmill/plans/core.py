@@ -408,7 +408,10 @@ x AS (SELECT id, max(CASE WHEN category = 'abuse' THEN weight END) AS a, max(CAS
 r AS (SELECT id, CASE WHEN a > 0.6 THEN 'ml_insult' WHEN h > 0.6 THEN 'ml_identity_attack' WHEN s > 0.6 THEN 'ml_sexual_explicit' END AS category FROM x) SELECT id, category FROM r WHERE category IS NOT NULL""")
 def toxicity_ladder(t):
     """The ladder on scores of a term provider: the heaviest flag term of each category (terms are few, their number is checked)."""
-    terms = [(r["term"].lower(), r["category"], r["weight"]) for r in t("flag_terms").where("term is not null").limit(10_000).collect()]
+    rows = t("flag_terms").where("term is not null").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("more flag terms than an expression may hold")
+    terms = [(r["term"].lower(), r["category"], r["weight"]) for r in rows]
     low = F.lower(T.joined(F.col("t")))
 
     def heaviest(kind):
@@ -435,7 +438,9 @@ def name_numbering(t):
 
 @add("ner_scrub_documents")
 def ner_scrub_documents(t):
-    names = tuple(sorted(r["name"] for r in t("known_names").where("name is not null").select("name").distinct().limit(200_000).collect()))
+    names = tuple(sorted(r["name"] for r in t("known_names").where("name is not null").select("name").distinct().limit(200_001).collect()))
+    if len(names) > 200_000:
+        raise ValueError("more known names than may be sent to every worker")
     return ner.scrub_names(t("documents").select("doc_id", "text"), "text", ner.Gazetteer(names)).select("doc_id", "scrubbed", "entities")
 
 
