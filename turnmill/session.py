@@ -40,12 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _temporary
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives the loss of executors, is read by column. Removed when the application ends."""
-    spark = df.sparkSession
+def folder_of(spark: SparkSession) -> str:
+    """A new folder within the shared one. Removed when the application ends."""
     folder = f"{shared_dir(spark)}/turnmill-{uuid.uuid4().hex}"
     _folders[folder] = spark
-    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+    return folder
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, survives the loss of executors, is read by column (and by the values of ``by``, in folders of their own). Removed when the application ends."""
+    spark = df.sparkSession
+    folder = folder_of(spark)
+    to = df.write.mode("overwrite").option("compression", "zstd")
+    (to.partitionBy(by) if by else to).parquet(f"{folder}/{name}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
