@@ -5,11 +5,13 @@ Stages, all of them over all records:
 1. ``features``: one row a record with its class (hash of its shingle set) and the set itself, 32 bits a shingle. Written to
    the shared folder. On the way each task reports the shingles that many of its classes have; summed up, they make the list of
    common shingles, whose length is bounded by (mean set size / COMMON), whatever the number of records.
-2. ``agreements``: a record's keys, sent as packed blocks (not as rows) to the partition of their key range; there sorted,
-   and classes with equal keys become candidate pairs. Exact copies are one class, so they meet as one key. A key with more
-   than HOT classes is not paired there; its classes go through a join of salted blocks.
-3. ``verified``: candidates with their sets, counted exactly.
-4. ``expanded``: class pairs and the members of one class to pairs of ids.
+2. ``keyed``: a record's keys, as packed blocks (not as rows), one for each range of keys: the classes of a block once each, with their
+   size and group, and 4 bytes a key. The number of ranges follows the number of records, so that a range is one small piece of work.
+3. ``agreements`` (one table) or ``across`` (a table of history and a batch): the blocks of a range are sorted, and classes with equal keys
+   become candidate pairs. Exact copies are one class, so they meet as one key. A key with more than HOT classes is not paired
+   there; its classes go through a join of salted blocks.
+4. ``verified``: candidates with their sets, counted exactly. The set of a class with many candidates goes to several tasks.
+5. ``paired``: class pairs to pairs of ids. Classes with many members are joined in blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm.texts import mix, runs, word_arrays
@@ -27,18 +29,22 @@ from turnmill.session import small, tasks, written
 K = 3  # words a shingle
 MIN_WORDS = 20
 T = 0.5
-#: A shingle of more than this share of the classes of a task (and of at least COMMON_LEAST) is common.
-COMMON, COMMON_LEAST = 0.02, 24
+#: A shingle that more than this share of the classes (and at least COMMON_LEAST) have is common; a key of nothing but common shingles tells too little.
+COMMON, COMMON_LEAST = 0.001, 24
 #: Pairs with a set of fewer shingles than this meet in every shingle, which misses none.
 SMALL = 8
-#: Share of shingles that are not common from which a set gives no keys of common ones alone.
-MOSTLY_RARE = 0.6
+#: Classes under one key, or members of one class, from which they are joined in blocks; candidates of a class from which its set goes to several tasks.
 HOT = 2000
+HUB = 5000
+#: Keys a range, about.
+RANGE_KEYS = 2_000_000
+KEYS_A_SET = 120
 
 #: Keys of sets, from the hash and the set of each shingle, the sizes of the sets, and whether a shingle may stand without another kind in a key.
 Keys = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 FEATURES = "tbl int, id string, grp int, cid long, n int, sh binary, seen int"
+MET = "a long, b long, key long, grp int, blocks int"
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,8 +63,11 @@ def class_ids(sh: np.ndarray, at: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return mix((total[at[1:]] - total[at[:-1]]) ^ mix(salt.astype(np.uint64) + np.uint64(77)))
 
 
-def features(df: DataFrame, text_of: Callable[[str | None], str | None], name: str) -> DataFrame:
-    """df has tbl int, id string, grp int, body string. Records that don't parse or have under MIN_WORDS words give no row; nor do null ids."""
+def features(df: DataFrame, text_of: Callable[[str | None], str | None], name: str, counted_group: int | None = None) -> DataFrame:
+    """df has tbl int, id string, grp int, body string. Records that don't parse or have under MIN_WORDS words give no row; nor do null ids.
+
+    ``counted_group``: only classes of this group count for the common shingles, and the table is laid out by group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -78,7 +87,8 @@ def features(df: DataFrame, text_of: Callable[[str | None], str | None], name: s
                     [rows["tbl"], rows["id"], rows["grp"], pa.array(cid[keep]), pa.array(n.astype(np.int32)), pa.array([data[4 * at[i] : 4 * at[i + 1]] for i in keep], pa.binary()), pa.nulls(len(keep), pa.int32())],
                     ["tbl", "id", "grp", "cid", "n", "sh", "seen"],
                 )
-                new = [i for i in keep if cid[i] not in known]
+                groups = p["grp"].to_pylist() if counted_group is not None else None
+                new = [i for i in keep if cid[i] not in known and (groups is None or groups[i] == counted_group)]
                 known.update(cid[i] for i in new)
                 classes += len(new)
                 if len(known) > 1_000_000:  # the counts serve speed only; a class met again may count again
@@ -92,11 +102,11 @@ def features(df: DataFrame, text_of: Callable[[str | None], str | None], name: s
         u, c = counted
         hot = c >= max(2, COMMON * classes)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([classes], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([u[hot].tobytes() + c[hot].astype(np.uint32).tobytes()], pa.binary()), pa.array([int(hot.sum())], pa.int32())],
+            [pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([-1], pa.int32()), pa.array([classes], pa.int64()), pa.nulls(1, pa.int32()), pa.array([u[hot].tobytes() + c[hot].astype(np.uint32).tobytes()], pa.binary()), pa.array([int(hot.sum())], pa.int32())],
             ["tbl", "id", "grp", "cid", "n", "sh", "seen"],
         )
 
-    return written(df.mapInArrow(run, FEATURES), name)
+    return written(df.mapInArrow(run, FEATURES), name, by=None if counted_group is None else "grp")
 
 
 def _merged(u: np.ndarray, c: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,10 +118,10 @@ def _merged(u: np.ndarray, c: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple
 def common_shingles(feats: DataFrame) -> np.ndarray:
     """Shingles that over COMMON of all classes have, sorted. At most (mean set size / COMMON) of them; a row a task comes to the driver."""
     u, c, classes = np.empty(0, np.uint32), np.empty(0, np.int64), 0
-    for r in feats.where("tbl = -1").select("grp", "sh", "seen").toLocalIterator():
+    for r in feats.where("tbl = -1").select("cid", "sh", "seen").toLocalIterator():
         a = np.frombuffer(bytes(r["sh"]), np.uint32)
         u, c = _merged(u, c, a[: r["seen"]], a[r["seen"] :].astype(np.int64))
-        classes += r["grp"]
+        classes += r["cid"]
     return u[c >= max(COMMON_LEAST, COMMON * classes)]
 
 
@@ -126,14 +136,10 @@ def _is_in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def keys_of(sh: np.ndarray, at: np.ndarray, common: np.ndarray, salt: np.ndarray, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set, and the index of the set: of all its shingles, common ones included; every shingle for sets below 2 * SMALL.
-
-    A key of nothing but common shingles tells little; it is left out for sets of which at least MOSTLY_RARE are not common, as these have few such keys.
-    """
+    """Keys of each set, and the index of the set: of all its shingles, common ones included, as long as a key holds one that is not common; every shingle for sets below 2 * SMALL."""
     n = np.diff(at)
     owner = np.repeat(np.arange(len(n)), n)
-    rare = ~_is_in(sh, common)
-    tells = rare | (np.bincount(owner[rare], minlength=len(n)) < MOSTLY_RARE * n)[owner]
+    tells = ~_is_in(sh, common)
     m = (n >= SMALL)[owner]
     k, o = keys(mix(sh[m].astype(np.uint64)), owner[m], n, tells[m])
     # a set below SMALL can only be like sets below 2 * SMALL
@@ -142,43 +148,72 @@ def keys_of(sh: np.ndarray, at: np.ndarray, common: np.ndarray, salt: np.ndarray
     return np.concatenate((mix(k ^ salt[o] ^ mix(np.full(1, 1, np.uint64))), one)), np.concatenate((o, owner[single]))
 
 
-def agreements(feats: DataFrame, common: np.ndarray, keys: Keys, by_group: bool) -> DataFrame:
-    """Distinct pairs (a, b) of classes, a < b, that have a key in common. by_group: only of rows of different groups."""
-    spark = feats.sparkSession
-    parts = tasks(spark)
-    shared = spark.sparkContext.broadcast(common)
+def ranges(spark: SparkSession, records: int) -> int:
+    """Number of ranges of keys for so many records."""
+    return max(tasks(spark), -(-records * KEYS_A_SET // RANGE_KEYS))
+
+
+def _block(key: np.ndarray, of: np.ndarray, cid: np.ndarray, n: np.ndarray, grp: np.ndarray) -> bytes:
+    """Keys of one range (of: ascending index of the class) as bytes: the classes, their sizes, groups and numbers of keys, then the keys."""
+    new = np.concatenate(([True], of[1:] != of[:-1]))
+    first = np.flatnonzero(new)
+    c = of[first]
+    many = np.diff(np.concatenate((first, [len(of)])))
+    return b"".join((np.uint32(len(c)).tobytes(), cid[c].tobytes(), n[c].astype(np.uint32).tobytes(), grp[c].astype(np.int32).tobytes(), many.astype(np.uint32).tobytes(), key.astype(np.uint32).tobytes()))
+
+
+def _unblocked(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, and for each its class, the size of the set and the group."""
+    out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.uint32, np.int64, np.uint32, np.int32)]
+    for x in blocks:
+        m = int(np.frombuffer(x, np.uint32, 1)[0])
+        many = np.frombuffer(x, np.uint32, m, 4 + 16 * m)
+        out[0].append(np.frombuffer(x, np.uint32, -1, 4 + 20 * m))
+        for i, (t, at) in enumerate(((np.int64, 4), (np.uint32, 4 + 8 * m), (np.int32, 4 + 12 * m)), 1):
+            out[i].append(np.repeat(np.frombuffer(x, t, m, at), many))
+    k, c, n, g = (np.concatenate(x) for x in out)
+    return k, c, n, g
+
+
+def keyed(feats: DataFrame, common: np.ndarray, keys: Keys, names: np.ndarray) -> DataFrame:
+    """(part, block): the keys of all classes; ``names``: the number each range goes by. A range and 32 bits are what is kept of a key."""
+    shared = feats.sparkSession.sparkContext.broadcast((common, names))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int, int]] = set()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        common, names = shared.value
+        parts = np.uint64(len(names))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            k, c, t = (np.concatenate(x) for x in zip(*held, strict=True))
-            to = ((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ranges of the key
-            order = np.argsort(to, kind="stable")
-            k, c, t = k[order], c[order], t[order]
-            cut = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64))
-            p = [i for i in range(parts) if cut[i + 1] > cut[i]]
-            blocks = [k[cut[i] : cut[i + 1]].tobytes() + c[cut[i] : cut[i + 1]].tobytes() + t[cut[i] : cut[i + 1]].tobytes() for i in p]
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+            key = np.concatenate([x[0] for x in held])
+            cid, n, grp = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
+            of = np.concatenate([x[1] + d for x, d in zip(held, np.cumsum([0] + [len(x[2]) for x in held]), strict=False)])
+            to = (((key >> np.uint64(32)) * parts) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((of, to))
+            key, of, to = key[order], of[order], to[order]
+            cut = np.searchsorted(to, np.arange(len(names) + 1))
+            p = np.flatnonzero(cut[1:] > cut[:-1])
+            for lo in range(0, len(p), 1000):
+                q = p[lo : lo + 1000]
+                blocks = [_block(key[cut[i] : cut[i + 1]] & np.uint64(0xFFFFFFFF), of[cut[i] : cut[i + 1]], cid, n, grp) for i in q]
+                yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 p = b.slice(lo, 2000)
                 cid, grp, n, kinds = (p[x].to_numpy(zero_copy_only=False) for x in ("cid", "grp", "n", "tbl"))
-                new = [i for i in range(len(cid)) if (x := (int(cid[i]), int(grp[i]) if by_group else 0)) not in known and not known.add(x)]
+                new = [i for i in range(len(cid)) if (x := (int(cid[i]), int(grp[i]))) not in known and not known.add(x)]
                 if len(known) > 1_000_000:  # sent again, and dropped where the keys meet
                     known.clear()
                 if not new:
                     continue
                 new = np.array(new)
-                blobs = p["sh"].take(pa.array(new)).to_pylist()
-                sh = np.frombuffer(b"".join(blobs), np.uint32)
+                sh = np.frombuffer(b"".join(p["sh"].take(pa.array(new)).to_pylist()), np.uint32)
                 at = np.concatenate(([0], np.cumsum(n[new], dtype=np.int64)))
-                k, o = keys_of(sh, at, shared.value, mix(kinds[new].astype(np.uint64) + np.uint64(5)), keys)
-                tag = np.minimum(n[new], 0xFFFF).astype(np.uint32) | (np.where(by_group, grp[new], 0).astype(np.uint32) << np.uint32(16))
-                held.append((k, cid[new][o], tag[o]))
+                k, o = keys_of(sh, at, common, mix(kinds[new].astype(np.uint64) + np.uint64(5)), keys)
+                held.append((k, o, cid[new], n[new], grp[new]))
                 size += len(k)
                 if size > 1_500_000:
                     yield from flush()
@@ -186,34 +221,51 @@ def agreements(feats: DataFrame, common: np.ndarray, keys: Keys, by_group: bool)
         if size:
             yield from flush()
 
+    return rows_of(feats).select("tbl", "cid", "grp", "n", "sh").mapInArrow(emit, "part int, block binary")
+
+
+def _sized(nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """The distance to the empty set alone rules out sizes that are too far apart."""
+    return np.maximum(nx, ny) * T <= np.minimum(nx, ny)
+
+
+def _hot_rows(key: int, c: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+    """Classes of one key, to be joined in blocks."""
+    m = len(c)
+    return pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(m, pa.int64()), pa.array(np.full(m, key, np.int64)), pa.array(g.astype(np.int32)), pa.array(np.full(m, m // HOT + 1, np.int32))], ["a", "b", "key", "grp", "blocks"])
+
+
+def agreements(feats: DataFrame, common: np.ndarray, keys: Keys) -> DataFrame:
+    """Distinct pairs (a, b) of classes, a < b, that have a key in common."""
+    spark = feats.sparkSession
+    parts = ranges(spark, rows_of(feats).count())
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, cs, ts = [], [], []
+        by: dict[int, list[bytes]] = {}
         for b in batches:
-            for x in b["block"].to_pylist():
-                m = len(x) // 20
-                ks.append(np.frombuffer(x, np.uint64, m))
-                cs.append(np.frombuffer(x, np.int64, m, 8 * m))
-                ts.append(np.frombuffer(x, np.uint32, m, 16 * m))
-        if not ks:
-            return
-        k, c, t = np.concatenate(ks), np.concatenate(cs), np.concatenate(ts)
-        del ks, cs, ts
+            for p, x in zip(b["part"].to_pylist(), b["block"].to_pylist(), strict=True):
+                by.setdefault(p, []).append(x)
+        for p in list(by):
+            yield from one(p, by.pop(p))
+
+    def one(part: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        k, c, n, _ = _unblocked(blocks)
         order = np.argsort(k)
         k = k[order]
         again = np.concatenate(([False], k[1:] == k[:-1]))
         some = again | np.concatenate((again[1:], [False]))
         order, k = order[some], k[some]  # keys that occur once are most
-        c, t = c[order], t[order]
-        order = np.lexsort((t, c, k))
-        k, c, t = k[order], c[order], t[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (t[1:] != t[:-1])))
-        k, c, t = k[new], c[new], t[new]
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        c, n = c[order], n[order]
+        order = np.lexsort((c, k))
+        k, c, n = k[order], c[order], n[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+        k, c, n = k[new[: len(k)]], c[new[: len(k)]], n[new[: len(k)]]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
         length = np.diff(np.concatenate((first, [len(k)])))
         hot = length > HOT
-        for i in np.flatnonzero(hot):  # as (key, class), to be joined in blocks
+        for i in np.flatnonzero(hot):
             s = slice(first[i], first[i] + length[i])
-            yield pa.RecordBatch.from_arrays([pa.array(c[s]), pa.nulls(length[i], pa.int64()), pa.array(np.full(length[i], k[first[i]]).view(np.int64)), pa.array((t[s] >> np.uint32(16)).astype(np.int32)), pa.array(np.full(length[i], length[i] // HOT + 1, np.int32))], ["a", "b", "key", "grp", "blocks"])
+            yield _hot_rows((part << 32) | int(k[first[i]]), c[s], np.zeros(length[i]))
         first, length = first[~hot], length[~hot]
         step, seen = 1, []
         while len(first):  # classes that stand `step` apart under one key
@@ -223,27 +275,65 @@ def agreements(feats: DataFrame, common: np.ndarray, keys: Keys, by_group: bool)
                 break
             i = np.repeat(first, length - step) + _ramp(length - step)
             j = i + step
-            a, b, na, nb = c[i], c[j], t[i] & np.uint32(0xFFFF), t[j] & np.uint32(0xFFFF)
-            # the distance to the empty set alone rules out sizes that are too far apart
-            ok = (a != b) & (np.maximum(na, nb) * T <= np.minimum(na, nb))
-            if by_group:
-                ok &= (t[i] >> np.uint32(16)) != (t[j] >> np.uint32(16))
-            seen.append(np.stack((np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])), 1))
+            ok = (c[i] != c[j]) & _sized(n[i], n[j])
+            seen.append(np.stack((np.minimum(c[i], c[j])[ok], np.maximum(c[i], c[j])[ok]), 1))
             step += 1
             if sum(map(len, seen)) > 500_000:
-                yield from _pairs(seen)
+                yield _pairs(seen)
                 seen = []
-        yield from _pairs(seen)
-
-    met = (
-        _by_part(rows_of(feats).select("tbl", "cid", "grp", "n", "sh").mapInArrow(emit, "part int, block binary"), parts)
-        .select("block")
-        .mapInArrow(meet, "a long, b long, key long, grp int, blocks int")
-    )
-    met = written(met, "agreements")
+        yield _pairs(seen)
+
+    met = written(_by_part(keyed(feats, common, keys, np.arange(parts, dtype=np.int32)), parts).mapInArrow(meet, MET), "agreements")
     found = met.where("b is not null").select("a", "b")
     if met.where("b is null").limit(1).count():
-        found = found.unionByName(_hot_pairs(met.where("b is null"), by_group))
+        x = met.where("b is null")
+        found = found.unionByName(_hot_pairs(x, x).where("a < b"))
+    return found.distinct()
+
+
+def across(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a class of the batch and one of the history that have a key in common; both are tables of ``keyed``."""
+
+    def meet(old: pa.Table, new: pa.Table) -> pa.Table:
+        if not old.num_rows or not new.num_rows:
+            return _pairs([]).schema.empty_table()
+        k, c, n, _ = _unblocked(old["block"].to_pylist())
+        q, d, m, _ = _unblocked(new["block"].to_pylist())
+        # what the batch doesn't ask for is left out before anything is sorted
+        asked = np.unique(q)
+        ok = _is_in(k, asked)
+        k, c, n = k[ok], c[ok], n[ok]
+        order = np.lexsort((c, k))
+        k, c, n = k[order], c[order], n[order]
+        order = np.lexsort((d, q))
+        q, d, m = q[order], d[order], m[order]
+        lo, hi = np.searchsorted(k, q, "left"), np.searchsorted(k, q, "right")
+        out = []
+        times = np.bincount(np.searchsorted(asked, q), minlength=len(asked))[np.searchsorted(asked, q)]
+        hot = (hi - lo > HOT) | ((times > HOT) & (hi > lo))
+        for x in np.unique(q[hot]):
+            key = (int(new["part"][0].as_py()) << 32) | int(x)
+            a, z = np.searchsorted(k, x, "left"), np.searchsorted(k, x, "right")
+            cs, ds = np.unique(c[a:z]), np.unique(d[q == x])
+            both = pa.Table.from_batches([_hot_rows(key, cs, np.zeros(len(cs))), _hot_rows(key, ds, np.ones(len(ds)))])
+            blocks = pa.array(np.full(len(both), max(len(cs), len(ds)) // HOT + 1, np.int32))
+            out.append(both.set_column(4, "blocks", blocks))
+        lo, hi, d, m = lo[~hot], hi[~hot], d[~hot], m[~hot]
+        total = np.cumsum(hi - lo)
+        for a in range(0, int(total[-1]) if len(total) else 0, 2_000_000):
+            some = slice(np.searchsorted(total, a, "right"), np.searchsorted(total, a + 2_000_000, "right"))
+            many = (hi - lo)[some]
+            j = np.repeat(lo[some], many) + _ramp(many)
+            i = np.repeat(np.arange(len(d))[some], many)
+            ok = (d[i] != c[j]) & _sized(m[i], n[j])
+            out.append(pa.Table.from_batches([_pairs([np.stack((d[i][ok], c[j][ok]), 1)])]))
+        return pa.concat_tables(out) if out else _pairs([]).schema.empty_table()
+
+    met = written(history.groupBy("part").cogroup(batch.groupBy("part")).applyInArrow(meet, MET), "agreements")
+    found = met.where("b is not null").select("a", "b")
+    if met.where("b is null").limit(1).count():
+        x = met.where("b is null")
+        found = found.unionByName(_hot_pairs(x.where("grp = 1"), x.where("grp = 0")).where("a <> b"))
     return found.distinct()
 
 
@@ -252,15 +342,13 @@ def _by_part(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("part")) if hasattr(df, "repartitionById") else df.repartition(parts, "part")
 
 
-def _hot_pairs(hot: DataFrame, by_group: bool) -> DataFrame:
+def _hot_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     """Pairs under keys with many classes: the classes of a key fall into blocks of about HOT, and each two blocks meet in a task of their own."""
-    x = hot.select("key", "grp", F.col("a").alias("c"), "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("blk"))
-    left = x.select("key", "c", "grp", F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    right = x.select("key", F.col("c").alias("d"), F.col("grp").alias("grp2"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    p = left.join(right.hint("merge"), ["key", "i", "j"]).where("c < d")
-    if by_group:
-        p = p.where("grp <> grp2")
-    return p.select(F.col("c").alias("a"), F.col("d").alias("b"))
+    put = lambda df: df.select("key", "a", "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("blk"))
+    to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = put(x).select("key", "a", F.col("blk").alias("i"), to.alias("j"))
+    right = put(y).select("key", F.col("a").alias("b"), F.col("blk").alias("j"), to.alias("i"))
+    return left.join(right.hint("merge"), ["key", "i", "j"]).select("a", "b")
 
 
 def _ramp(lengths: np.ndarray) -> np.ndarray:
@@ -268,14 +356,13 @@ def _ramp(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _pairs(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if not seen:
-        return
-    p = np.concatenate(seen)
+def _pairs(seen: list[np.ndarray]) -> pa.RecordBatch:
+    """The distinct ones of pairs of classes."""
+    p = np.concatenate([np.empty((0, 2), np.int64), *seen])
     p = p[np.lexsort((p[:, 1], p[:, 0]))]
     p = p[np.concatenate(([True], (p[1:] != p[:-1]).any(1)))] if len(p) else p
     n = len(p)
-    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], ["a", "b", "key", "grp", "blocks"])
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], ["a", "b", "key", "grp", "blocks"])
 
 
 def likeness(x: list[bytes], y: list[bytes]) -> np.ndarray:
@@ -288,12 +375,24 @@ def likeness(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return both / np.maximum(1, nx + ny - both)
 
 
-def verified(feats: DataFrame, pairs: DataFrame, threshold: float = T) -> DataFrame:
+def _with_sets(pairs: DataFrame, side: str, other: str, sets: DataFrame, name: str) -> DataFrame:
+    """pairs with the set of the class in column ``side``. A class in more than HUB pairs has its set copied, once for each HUB of them."""
+    need = pairs.select(F.col(side).alias("cid"))
+    # few enough classes are sent to the sets; else the sets are shuffled
+    one = sets.select("cid", "sh").join(small(need.distinct()), "cid", "left_semi").dropDuplicates(["cid"]).select(F.col("cid").alias(side), F.col("sh").alias(name))
+    hubs = need.groupBy(F.col("cid").alias(side)).count().where(f"count > {HUB}").select(side, (F.col("count") / HUB).cast("int").alias("_more"))
+    if not hubs.limit(1).count():
+        return pairs.join(one, side)
+    hubs = small(written(hubs, "hubs"))
+    more = F.coalesce("_more", F.lit(0))
+    one = one.join(hubs, side, "left").select(side, name, F.explode(F.sequence(F.lit(0), more)).alias("_blk"))
+    p = pairs.join(hubs, side, "left").withColumn("_blk", F.pmod(F.xxhash64(other), more + 1).cast("int")).drop("_more")
+    return p.join(one, [side, "_blk"]).drop("_blk")
+
+
+def verified(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, threshold: float = T) -> DataFrame:
     """(a, b, likeness) of the pairs of classes that reach the threshold."""
     pairs = written(pairs, "candidates")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    # few enough classes are sent to the sets; else the sets are shuffled
-    sets = rows_of(feats).select("cid", "sh").join(small(need), "cid", "left_semi").dropDuplicates(["cid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,17 +402,42 @@ def verified(feats: DataFrame, pairs: DataFrame, threshold: float = T) -> DataFr
                 ok = pa.array(np.flatnonzero(s >= threshold))
                 yield pa.RecordBatch.from_arrays([p["a"].take(ok), p["b"].take(ok), pa.array(s).take(ok)], ["a", "b", "likeness"])
 
-    joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("sh").alias("y")), "b")
+    joined = _with_sets(_with_sets(pairs, "a", "b", sets_a, "x"), "b", "a", sets_b, "y")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, likeness double")
 
 
-def expanded(feats: DataFrame, links: DataFrame, by_group: bool) -> DataFrame:
+def members(feats: DataFrame) -> DataFrame:
+    return rows_of(feats).select("tbl", "id", "cid").distinct()
+
+
+def _spread(m: DataFrame, cid: str, blk: str) -> tuple[DataFrame, DataFrame | None]:
+    """Members of classes with a block for classes of more than HOT members, and the number of blocks of these."""
+    hot = m.groupBy(cid).count().where(f"count > {HOT}").select(cid, (F.col("count") / HOT + 1).cast("int").alias("_blocks"))
+    if not hot.limit(1).count():
+        return m.withColumn(blk, F.lit(0)), None
+    hot = small(written(hot, "hot"))
+    of = F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).cast("int")
+    return m.join(hot, cid, "left").withColumn(blk, of).drop("_blocks"), hot
+
+
+def _over_blocks(links: DataFrame, cid: str, blk: str, hot: DataFrame | None) -> DataFrame:
+    if hot is None:
+        return links.withColumn(blk, F.lit(0))
+    return links.join(hot, cid, "left").withColumn(blk, F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
+
+
+def paired(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(tbl, i, j): the members of each two linked classes (a, b); a class may be linked with itself. left, right: ``members``."""
+    l, lh = _spread(left.select("tbl", "id", F.col("cid").alias("a")), "a", "p")
+    r, rh = _spread(right.select("id", F.col("cid").alias("b")), "b", "q")
+    p = _over_blocks(_over_blocks(links.select("a", "b"), "a", "p", lh), "b", "q", rh)
+    p = p.join(l.withColumnRenamed("id", "i"), ["a", "p"]).join(r.withColumnRenamed("id", "j"), ["b", "q"])
+    return p.select("tbl", "i", "j", F.col("a") == F.col("b"))
+
+
+def expanded(feats: DataFrame, links: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b, each pair once: of linked classes, and of the members of one class."""
-    members = rows_of(feats).select("tbl", "id", "grp", "cid").distinct()
-    m1 = members.select("tbl", F.col("id").alias("i"), F.col("grp").alias("g"), F.col("cid").alias("a"))
-    m2 = members.select(F.col("id").alias("j"), F.col("grp").alias("h"), F.col("cid").alias("b"))
-    apart = F.expr("i <> j and g <> h") if by_group else F.expr("i <> j")
-    linked = links.select("a", "b").join(m1, "a").join(m2, "b").where(apart)
-    same = m1.join(m2, F.col("a") == F.col("b")).where(apart & F.expr("i < j"))
-    pair = ["tbl", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")]
-    return linked.select(*pair).unionByName(same.select(*pair)).distinct()
+    m = members(feats)
+    same = m.groupBy("cid").count().where("count > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    p = paired(links.select("a", "b").unionByName(same), m, m).toDF("tbl", "i", "j", "same")
+    return p.where("i < j or (i > j and not same)").select("tbl", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()

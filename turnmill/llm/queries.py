@@ -21,6 +21,13 @@ def p2_found(t):
     return p2_near.near_pairs(t("exchanges"), t("staged"))
 
 
+@LLM.add("p2_classes")
+def p2_classes(t):
+    from turnmill.llm import p2_near
+
+    return p2_near.classes(t("exchanges"), t("staged"))
+
+
 @LLM.add("p9_found")
 def p9_found(t):
     from turnmill.llm import p9_leaks
