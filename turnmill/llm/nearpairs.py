@@ -10,7 +10,8 @@ Stages, all of them over all records:
 3. ``agreements`` (one table) or ``across`` (a table of history and a batch): the blocks of a range are sorted, and classes with equal keys
    become candidate pairs. Exact copies are one class, so they meet as one key. A key with more than HOT classes is not paired
    there; its classes go through a join of salted blocks.
-4. ``verified``: candidates with their sets, counted exactly. The set of a class with many candidates goes to several tasks.
+4. ``verified``: candidates with their bitmaps, which rule out most of them for sure, then the rest with their sets, counted exactly. What a class with many
+   candidates has goes to several tasks.
 5. ``paired``: class pairs to pairs of ids. Classes with many members are joined in blocks.
 """
 
@@ -33,6 +34,8 @@ T = 0.5
 COMMON, COMMON_LEAST = 0.001, 24
 #: Pairs with a set of fewer shingles than this meet in every shingle, which misses none.
 SMALL = 8
+#: Share of shingles that are not common under which a set has coarse keys besides, and by how much these are coarser.
+MOSTLY_RARE, COARSE = 0.25, 4
 #: Classes under one key, or members of one class, from which they are joined in blocks; candidates of a class from which its set goes to several tasks.
 HOT = 2000
 HUB = 5000
@@ -43,7 +46,9 @@ KEYS_A_SET = 120
 #: Keys of sets, from the hash and the set of each shingle, the sizes of the sets, and whether a shingle may stand without another kind in a key.
 Keys = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-FEATURES = "tbl int, id string, grp int, cid long, n int, sh binary, seen int"
+FEATURES = "tbl int, id string, grp int, cid long, n int, sh binary, bits binary, seen int"
+#: Bits of a set's bitmap.
+BITS = 1024
 MET = "a long, b long, key long, grp int, blocks int"
 
 
@@ -63,6 +68,15 @@ def class_ids(sh: np.ndarray, at: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return mix((total[at[1:]] - total[at[:-1]]) ^ mix(salt.astype(np.uint64) + np.uint64(77)))
 
 
+def bitmaps(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """BITS bits a set (a row of 64-bit words): one for each place that a shingle falls to."""
+    out = np.zeros((len(at) - 1, BITS // 64), np.uint64)
+    place = (mix(sh.astype(np.uint64) + np.uint64(0x1234567)) >> np.uint64(40)) % np.uint64(BITS)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    np.bitwise_or.at(out, (owner, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
 def features(df: DataFrame, text_of: Callable[[str | None], str | None], name: str, counted_group: int | None = None) -> DataFrame:
     """df has tbl int, id string, grp int, body string. Records that don't parse or have under MIN_WORDS words give no row; nor do null ids.
 
@@ -84,8 +98,8 @@ def features(df: DataFrame, text_of: Callable[[str | None], str | None], name: s
                 rows = p.take(pa.array(keep))
                 n = np.diff(at)[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [rows["tbl"], rows["id"], rows["grp"], pa.array(cid[keep]), pa.array(n.astype(np.int32)), pa.array([data[4 * at[i] : 4 * at[i + 1]] for i in keep], pa.binary()), pa.nulls(len(keep), pa.int32())],
-                    ["tbl", "id", "grp", "cid", "n", "sh", "seen"],
+                    [rows["tbl"], rows["id"], rows["grp"], pa.array(cid[keep]), pa.array(n.astype(np.int32)), pa.array([data[4 * at[i] : 4 * at[i + 1]] for i in keep], pa.binary()), pa.array([x.tobytes() for x in bitmaps(sh, at)[keep]], pa.binary()), pa.nulls(len(keep), pa.int32())],
+                    ["tbl", "id", "grp", "cid", "n", "sh", "bits", "seen"],
                 )
                 groups = p["grp"].to_pylist() if counted_group is not None else None
                 new = [i for i in keep if cid[i] not in known and (groups is None or groups[i] == counted_group)]
@@ -102,8 +116,8 @@ def features(df: DataFrame, text_of: Callable[[str | None], str | None], name: s
         u, c = counted
         hot = c >= max(2, COMMON * classes)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([-1], pa.int32()), pa.array([classes], pa.int64()), pa.nulls(1, pa.int32()), pa.array([u[hot].tobytes() + c[hot].astype(np.uint32).tobytes()], pa.binary()), pa.array([int(hot.sum())], pa.int32())],
-            ["tbl", "id", "grp", "cid", "n", "sh", "seen"],
+            [pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([-1], pa.int32()), pa.array([classes], pa.int64()), pa.nulls(1, pa.int32()), pa.array([u[hot].tobytes() + c[hot].astype(np.uint32).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([int(hot.sum())], pa.int32())],
+            ["tbl", "id", "grp", "cid", "n", "sh", "bits", "seen"],
         )
 
     return written(df.mapInArrow(run, FEATURES), name, by=None if counted_group is None else "grp")
@@ -136,15 +150,26 @@ def _is_in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def keys_of(sh: np.ndarray, at: np.ndarray, common: np.ndarray, salt: np.ndarray, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set, and the index of the set: of all its shingles, common ones included, as long as a key holds one that is not common; every shingle for sets below 2 * SMALL."""
+    """Keys of each set, and the index of the set: of all its shingles, as long as a key holds one that is not common; every shingle for sets below 2 * SMALL.
+
+    Sets of mostly common shingles (of large families of variants, say) have keys of COARSE times as many shingles besides, whatever these are: what is common alone
+    is seldom common together, but in a family. Of these keys every second is taken, by the key, so that two sets take the same.
+    """
     n = np.diff(at)
     owner = np.repeat(np.arange(len(n)), n)
     tells = ~_is_in(sh, common)
     m = (n >= SMALL)[owner]
-    k, o = keys(mix(sh[m].astype(np.uint64)), owner[m], n, tells[m])
+    h = mix(sh.astype(np.uint64))
+    k, o = keys(h[m], owner[m], n, tells[m])
+    mostly = m & (np.bincount(owner[tells], minlength=len(n)) < MOSTLY_RARE * n)[owner]
+    if mostly.any():
+        k2, o2 = keys(h[mostly], owner[mostly], n / COARSE, np.ones(mostly.sum(), bool))
+        k2 = mix(k2 ^ mix(np.full(1, 9, np.uint64)))
+        half = (k2 & np.uint64(1)) == 0
+        k, o = np.concatenate((k, k2[half])), np.concatenate((o, o2[half]))
     # a set below SMALL can only be like sets below 2 * SMALL
     single = (n < 2 * SMALL)[owner]
-    one = mix(mix(sh[single].astype(np.uint64)) ^ salt[owner[single]] ^ np.uint64(3))
+    one = mix(h[single] ^ salt[owner[single]] ^ np.uint64(3))
     return np.concatenate((mix(k ^ salt[o] ^ mix(np.full(1, 1, np.uint64))), one)), np.concatenate((o, owner[single]))
 
 
@@ -375,25 +400,37 @@ def likeness(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return both / np.maximum(1, nx + ny - both)
 
 
-def _with_sets(pairs: DataFrame, side: str, other: str, sets: DataFrame, name: str) -> DataFrame:
-    """pairs with the set of the class in column ``side``. A class in more than HUB pairs has its set copied, once for each HUB of them."""
+def _with(pairs: DataFrame, side: str, other: str, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """pairs with columns (name: new name) of the class in column ``side``. What a class in more than HUB pairs has is copied, once for each HUB of them."""
     need = pairs.select(F.col(side).alias("cid"))
-    # few enough classes are sent to the sets; else the sets are shuffled
-    one = sets.select("cid", "sh").join(small(need.distinct()), "cid", "left_semi").dropDuplicates(["cid"]).select(F.col("cid").alias(side), F.col("sh").alias(name))
+    # few enough classes are sent to the table; else the table is shuffled
+    one = table.select("cid", *columns).join(small(need.distinct()), "cid", "left_semi").dropDuplicates(["cid"]).select(F.col("cid").alias(side), *(F.col(c).alias(n) for c, n in columns.items()))
     hubs = need.groupBy(F.col("cid").alias(side)).count().where(f"count > {HUB}").select(side, (F.col("count") / HUB).cast("int").alias("_more"))
     if not hubs.limit(1).count():
         return pairs.join(one, side)
     hubs = small(written(hubs, "hubs"))
     more = F.coalesce("_more", F.lit(0))
-    one = one.join(hubs, side, "left").select(side, name, F.explode(F.sequence(F.lit(0), more)).alias("_blk"))
+    one = one.join(hubs, side, "left").withColumn("_blk", F.explode(F.sequence(F.lit(0), more))).drop("_more")
     p = pairs.join(hubs, side, "left").withColumn("_blk", F.pmod(F.xxhash64(other), more + 1).cast("int")).drop("_more")
     return p.join(one, [side, "_blk"]).drop("_blk")
 
 
-def verified(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, threshold: float = T) -> DataFrame:
-    """(a, b, likeness) of the pairs of classes that reach the threshold."""
+def verified(pairs: DataFrame, table_a: DataFrame, table_b: DataFrame, threshold: float = T) -> DataFrame:
+    """(a, b, likeness) of the pairs of classes that reach the threshold.
+
+    Bitmaps come first: places that only one of two bitmaps has are at most as many as shingles that only one of the sets has, so
+    they rule out pairs for sure, for a few bytes a pair; most candidates go here. The sets of the others are counted.
+    """
     pairs = written(pairs, "candidates")
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
+            n = b["n"].to_numpy().astype(np.int64) + b["m"].to_numpy()
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            ok = pa.array(np.flatnonzero(differ * (1 + threshold) <= n * (1 - threshold) + 1e-9))
+            yield pa.RecordBatch.from_arrays([b["a"].take(ok), b["b"].take(ok)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
@@ -402,7 +439,9 @@ def verified(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, threshold:
                 ok = pa.array(np.flatnonzero(s >= threshold))
                 yield pa.RecordBatch.from_arrays([p["a"].take(ok), p["b"].take(ok), pa.array(s).take(ok)], ["a", "b", "likeness"])
 
-    joined = _with_sets(_with_sets(pairs, "a", "b", sets_a, "x"), "b", "a", sets_b, "y")
+    seen = _with(_with(pairs, "a", "b", table_a, {"n": "n", "bits": "x"}), "b", "a", table_b, {"n": "m", "bits": "y"})
+    left = written(seen.select("a", "b", "n", "m", "x", "y").mapInArrow(possible, "a long, b long"), "possible")
+    joined = _with(_with(left, "a", "b", table_a, {"sh": "x"}), "b", "a", table_b, {"sh": "y"})
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, likeness double")
 
 
