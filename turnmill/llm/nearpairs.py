@@ -6,7 +6,7 @@ Stages, all of them over all records:
    the shared folder. On the way each task reports the shingles that many of its classes have; summed up, they make the list of
    common shingles, whose length is bounded by (mean set size / COMMON), whatever the number of records.
 2. ``keyed``: a record's keys, as packed blocks (not as rows), one for each range of keys: the classes of a block once each, with their
-   size and group, and 4 bytes a key. The number of ranges follows the number of records, so that a range is one small piece of work.
+   size, and 4 bytes a key. The number of ranges follows the number of records, so that a range is one small piece of work.
 3. ``agreements`` (one table) or ``across`` (a table of history and a batch): the blocks of a range are sorted, and classes with equal keys
    become candidate pairs. Exact copies are one class, so they meet as one key. A key with more than HOT classes is not paired
    there; its classes go through a join of salted blocks.
@@ -31,7 +31,7 @@ K = 3  # words a shingle
 MIN_WORDS = 20
 T = 0.5
 #: A shingle that more than this share of the classes (and at least COMMON_LEAST) have is common; a key of nothing but common shingles tells too little.
-COMMON, COMMON_LEAST = 0.001, 24
+COMMON, COMMON_LEAST = 0.0003, 24
 #: Pairs with a set of fewer shingles than this meet in every shingle, which misses none.
 SMALL = 8
 #: Share of shingles that are not common under which a set has coarse keys besides, and by how much these are coarser.
@@ -178,26 +178,25 @@ def ranges(spark: SparkSession, records: int) -> int:
     return max(tasks(spark), -(-records * KEYS_A_SET // RANGE_KEYS))
 
 
-def _block(key: np.ndarray, of: np.ndarray, cid: np.ndarray, n: np.ndarray, grp: np.ndarray) -> bytes:
-    """Keys of one range (of: ascending index of the class) as bytes: the classes, their sizes, groups and numbers of keys, then the keys."""
-    new = np.concatenate(([True], of[1:] != of[:-1]))
-    first = np.flatnonzero(new)
+def _block(key: np.ndarray, of: np.ndarray, cid: np.ndarray, n: np.ndarray) -> bytes:
+    """Keys of one range (of: ascending index of the class) as bytes: the classes, their numbers of keys and (up to 65,535) sizes, then the keys."""
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     c = of[first]
     many = np.diff(np.concatenate((first, [len(of)])))
-    return b"".join((np.uint32(len(c)).tobytes(), cid[c].tobytes(), n[c].astype(np.uint32).tobytes(), grp[c].astype(np.int32).tobytes(), many.astype(np.uint32).tobytes(), key.astype(np.uint32).tobytes()))
+    return b"".join((np.uint32(len(c)).tobytes(), cid[c].tobytes(), many.astype(np.uint32).tobytes(), np.minimum(n[c], 0xFFFF).astype(np.uint16).tobytes(), key.astype(np.uint32).tobytes()))
 
 
-def _unblocked(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, and for each its class, the size of the set and the group."""
-    out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.uint32, np.int64, np.uint32, np.int32)]
+def _unblocked(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, and for each its class and the size of the set."""
+    out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.uint32, np.int64, np.uint16)]
     for x in blocks:
         m = int(np.frombuffer(x, np.uint32, 1)[0])
-        many = np.frombuffer(x, np.uint32, m, 4 + 16 * m)
-        out[0].append(np.frombuffer(x, np.uint32, -1, 4 + 20 * m))
-        for i, (t, at) in enumerate(((np.int64, 4), (np.uint32, 4 + 8 * m), (np.int32, 4 + 12 * m)), 1):
-            out[i].append(np.repeat(np.frombuffer(x, t, m, at), many))
-    k, c, n, g = (np.concatenate(x) for x in out)
-    return k, c, n, g
+        many = np.frombuffer(x, np.uint32, m, 4 + 8 * m)
+        out[0].append(np.frombuffer(x, np.uint32, -1, 4 + 14 * m))
+        out[1].append(np.repeat(np.frombuffer(x, np.int64, m, 4), many))
+        out[2].append(np.repeat(np.frombuffer(x, np.uint16, m, 4 + 12 * m), many))
+    k, c, n = (np.concatenate(x) for x in out)
+    return k, c, n
 
 
 def keyed(feats: DataFrame, common: np.ndarray, keys: Keys, names: np.ndarray) -> DataFrame:
@@ -205,7 +204,7 @@ def keyed(feats: DataFrame, common: np.ndarray, keys: Keys, names: np.ndarray) -
     shared = feats.sparkSession.sparkContext.broadcast((common, names))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[tuple[int, int]] = set()
+        known: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         common, names = shared.value
@@ -213,7 +212,7 @@ def keyed(feats: DataFrame, common: np.ndarray, keys: Keys, names: np.ndarray) -
 
         def flush() -> Iterator[pa.RecordBatch]:
             key = np.concatenate([x[0] for x in held])
-            cid, n, grp = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
+            cid, n = (np.concatenate([x[i] for x in held]) for i in (2, 3))
             of = np.concatenate([x[1] + d for x, d in zip(held, np.cumsum([0] + [len(x[2]) for x in held]), strict=False)])
             to = (((key >> np.uint64(32)) * parts) >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((of, to))
@@ -222,14 +221,14 @@ def keyed(feats: DataFrame, common: np.ndarray, keys: Keys, names: np.ndarray) -
             p = np.flatnonzero(cut[1:] > cut[:-1])
             for lo in range(0, len(p), 1000):
                 q = p[lo : lo + 1000]
-                blocks = [_block(key[cut[i] : cut[i + 1]] & np.uint64(0xFFFFFFFF), of[cut[i] : cut[i + 1]], cid, n, grp) for i in q]
+                blocks = [_block(key[cut[i] : cut[i + 1]] & np.uint64(0xFFFFFFFF), of[cut[i] : cut[i + 1]], cid, n) for i in q]
                 yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 p = b.slice(lo, 2000)
-                cid, grp, n, kinds = (p[x].to_numpy(zero_copy_only=False) for x in ("cid", "grp", "n", "tbl"))
-                new = [i for i in range(len(cid)) if (x := (int(cid[i]), int(grp[i]))) not in known and not known.add(x)]
+                cid, n, kinds = (p[x].to_numpy(zero_copy_only=False) for x in ("cid", "n", "tbl"))
+                new = [i for i, x in enumerate(cid.tolist()) if x not in known and not known.add(x)]
                 if len(known) > 1_000_000:  # sent again, and dropped where the keys meet
                     known.clear()
                 if not new:
@@ -238,7 +237,7 @@ def keyed(feats: DataFrame, common: np.ndarray, keys: Keys, names: np.ndarray) -
                 sh = np.frombuffer(b"".join(p["sh"].take(pa.array(new)).to_pylist()), np.uint32)
                 at = np.concatenate(([0], np.cumsum(n[new], dtype=np.int64)))
                 k, o = keys_of(sh, at, common, mix(kinds[new].astype(np.uint64) + np.uint64(5)), keys)
-                held.append((k, o, cid[new], n[new], grp[new]))
+                held.append((k, o, cid[new], n[new]))
                 size += len(k)
                 if size > 1_500_000:
                     yield from flush()
@@ -246,12 +245,12 @@ def keyed(feats: DataFrame, common: np.ndarray, keys: Keys, names: np.ndarray) -
         if size:
             yield from flush()
 
-    return rows_of(feats).select("tbl", "cid", "grp", "n", "sh").mapInArrow(emit, "part int, block binary")
+    return rows_of(feats).select("tbl", "cid", "n", "sh").mapInArrow(emit, "part int, block binary")
 
 
 def _sized(nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     """The distance to the empty set alone rules out sizes that are too far apart."""
-    return np.maximum(nx, ny) * T <= np.minimum(nx, ny)
+    return np.maximum(nx, ny).astype(np.float32) * T <= np.minimum(nx, ny)
 
 
 def _hot_rows(key: int, c: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
@@ -274,7 +273,7 @@ def agreements(feats: DataFrame, common: np.ndarray, keys: Keys) -> DataFrame:
             yield from one(p, by.pop(p))
 
     def one(part: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        k, c, n, _ = _unblocked(blocks)
+        k, c, n = _unblocked(blocks)
         order = np.argsort(k)
         k = k[order]
         again = np.concatenate(([False], k[1:] == k[:-1]))
@@ -322,8 +321,8 @@ def across(history: DataFrame, batch: DataFrame) -> DataFrame:
     def meet(old: pa.Table, new: pa.Table) -> pa.Table:
         if not old.num_rows or not new.num_rows:
             return _pairs([]).schema.empty_table()
-        k, c, n, _ = _unblocked(old["block"].to_pylist())
-        q, d, m, _ = _unblocked(new["block"].to_pylist())
+        k, c, n = _unblocked(old["block"].to_pylist())
+        q, d, m = _unblocked(new["block"].to_pylist())
         # what the batch doesn't ask for is left out before anything is sorted
         asked = np.unique(q)
         ok = _is_in(k, asked)
@@ -402,13 +401,13 @@ def likeness(x: list[bytes], y: list[bytes]) -> np.ndarray:
 
 def _with(pairs: DataFrame, side: str, other: str, table: DataFrame, columns: dict[str, str]) -> DataFrame:
     """pairs with columns (name: new name) of the class in column ``side``. What a class in more than HUB pairs has is copied, once for each HUB of them."""
-    need = pairs.select(F.col(side).alias("cid"))
+    need = written(pairs.groupBy(F.col(side).alias("cid")).count(), "need")
     # few enough classes are sent to the table; else the table is shuffled
-    one = table.select("cid", *columns).join(small(need.distinct()), "cid", "left_semi").dropDuplicates(["cid"]).select(F.col("cid").alias(side), *(F.col(c).alias(n) for c, n in columns.items()))
-    hubs = need.groupBy(F.col("cid").alias(side)).count().where(f"count > {HUB}").select(side, (F.col("count") / HUB).cast("int").alias("_more"))
+    one = table.select("cid", *columns).join(small(need.select("cid")), "cid", "left_semi").dropDuplicates(["cid"]).select(F.col("cid").alias(side), *(F.col(c).alias(n) for c, n in columns.items()))
+    hubs = need.where(f"count > {HUB}").select(F.col("cid").alias(side), (F.col("count") / HUB).cast("int").alias("_more"))
     if not hubs.limit(1).count():
         return pairs.join(one, side)
-    hubs = small(written(hubs, "hubs"))
+    hubs = small(hubs)
     more = F.coalesce("_more", F.lit(0))
     one = one.join(hubs, side, "left").withColumn("_blk", F.explode(F.sequence(F.lit(0), more))).drop("_more")
     p = pairs.join(hubs, side, "left").withColumn("_blk", F.pmod(F.xxhash64(other), more + 1).cast("int")).drop("_more")
