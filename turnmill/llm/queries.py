@@ -39,7 +39,7 @@ def p9_found(t):
 def p9_edited(t):
     from turnmill.llm import p9_leaks
 
-    return p9_leaks.leaks(t("documents"), t("eval_items"), window=24, edits=2)
+    return p9_leaks.leaks(t("documents"), t("eval_items"), window=None)
 
 
 @LLM.add("p10_found")
