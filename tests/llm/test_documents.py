@@ -39,15 +39,30 @@ def docs(spark, ts):
 
 def test_repetition(spark):
     rng = random.Random(2)
-    ts = [" ".join(rng.choice(["a", "b", "c", "dog", "cat", "runs."]) for _ in range(rng.randrange(0, 90))) for _ in range(200)]
-    ts += [" ".join(f"w{rng.randrange(999)}" for _ in range(80)) for _ in range(200)] + [None, "", "word " * 19, "word " * 20, "same line\n" * 5000, " ".join(f"u{i}" for i in range(30_000))]
+    plain = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    ts = [plain(rng.randrange(0, 120)) + "." for _ in range(400)]
+    for _ in range(60):
+        s = plain(rng.randrange(6, 14)) + ". "
+        ts.append(plain(rng.randrange(10, 60)) + ". " + s * rng.randrange(3, 12))
+    ts += [None, "", "word " * 19, "word " * 20, "same line here again and\n" * 5000, " ".join(f"u{i}" for i in range(30_000))]
+    want = {i for i, t in enumerate(ts) if (m := repeated(t))[0] >= 20 and m[1] >= 0.3}
     got = {r[0] for r in p10_repetition.found(docs(spark, ts)).collect()}
-    assert got == {i for i, t in enumerate(ts) if (m := repeated(t))[0] >= 20 and m[1] >= 0.3}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 40
     assert p10_repetition.found(docs(spark, [])).count() == 0
     r = p10_repetition.repetition(docs(spark, ts))
     assert r.count() == len(ts) and {"run_share", "posterior"} <= set(r.columns)
 
 
+def test_posterior_overrules_a_single_rule():
+    """Where the first rule alone says that a few documents repeat, the others' votes prevail."""
+    votes = np.array([[0] * 6, [1] * 6, [1, 1, 2, 1, 1, 1], [1, 0, 0, 0, 0, 0], [0, 1, 1, 1, 1, 1]])
+    post = p10_repetition.fit(votes, np.array([900.0, 50, 20, 8, 4]))
+    assert post[3] < p10_repetition.CUT < 0.5 < post[1]
+    assert post[4] > 0.5  # and five against the first one
+    # taken out, the model would change what is found
+    assert (votes[:, 0] == 1).tolist() != (post >= p10_repetition.CUT).tolist()
+
+
 def test_em_learns_the_rules():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.15
@@ -101,19 +116,75 @@ def test_leaks_in_blocks(spark, eval_case, monkeypatch):
     assert {tuple(r) for r in p9_leaks.leaks(d, i).collect()} == leaked(ds, items)
 
 
-def test_edited_windows_are_found():
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        new = [i]
+        for j, b in enumerate(y, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 14), st.integers(0, 4))
+def test_bands_give_the_edit_distance(seed, w, most):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 3, (20, w)).astype(np.uint64)
+    y = x.copy()
+    for r in y:
+        for _ in range(rng.integers(0, 4)):
+            r[rng.integers(w) :] = np.roll(r[rng.integers(w) :], 1)[-1] if rng.random() < 0.3 else rng.integers(0, 3)
+    assert p9_leaks.within(x, y, most).tolist() == [distance(a, b) <= most for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize(("window", "edits"), [(12, 1), (24, 2), (40, 4)])
+def test_edited_windows_are_found(window, edits):
+    """The fitted repetitions reach the recall on other windows and edits than those they were fitted on."""
     rng = random.Random(6)
-    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(24))) for i in range(150)]
-    it = p9_leaks.Items([i for i, _ in items], [t for _, t in items], 24, 2, 4, 0.95)
-    hit = 0
-    for i, t in items:
+    ts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(window)) for _ in range(400)]
+    (it,) = p9_leaks.indexed(list(range(400)), ts, window, edits, 0, 4, 0.95)
+    assert len(it.plans) < p9_leaks.MOST_REPEATS
+    hit = n = 0
+    for i, t in enumerate(ts):
         w = t.split()
-        for _ in range(2):
+        for _ in range(edits):
             j = rng.randrange(len(w))
-            w[j] = "new"
-        words, ends = texts.word_arrays([" ".join(w)])
-        hit += i in it.search(words, ends)[1]
-    assert hit / len(items) >= 0.9
+            w[j : j + rng.randrange(2)] = ["new"] * rng.randrange(2)
+        words, ends = texts.word_arrays(["before it " + " ".join(w) + " after it and on"])
+        rows = words[p9_leaks._starts(ends, window)[0][:, None] + np.arange(window)]
+        mine = it.words[it.starts[i] : it.starts[i] + window]
+        if p9_leaks.within(rows, np.repeat(mine[None], len(rows), 0), edits).any():
+            n += 1
+            hit += i in it.search(words, ends)[1]
+    assert n > 100 and hit / n >= 0.92
+
+
+def test_item_sized_windows_on_the_tables():
+    """Against brute force over all windows of the smallest tables."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    folder = "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(folder):
+        pytest.skip("no test data")
+    items, docs = (pq.read_table(f"{folder}/{n}.parquet").to_pydict() for n in ("eval_items", "documents"))
+    rng = random.Random(3)
+    planted = []
+    for t in items["text"][:60]:
+        w = WORD.findall(t.lower())
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = "zz"
+        planted.append("some words first " + " ".join(w) + " and some after")
+    words, ends = texts.word_arrays(docs["text"] + planted)
+    got, want = set(), set()
+    for table in p9_leaks.indexed(items["item_id"], items["text"], None, 0, 0.1, 4, 0.95):
+        got |= set(zip(*(x.tolist() for x in table.search(words, ends)), strict=True))
+        starts, owner = p9_leaks._starts(ends, table.window)
+        rows = words[starts[:, None] + np.arange(table.window)]
+        for s, o in zip(table.starts.tolist(), table.owner.tolist(), strict=True):
+            mine = table.words[s : s + table.window]
+            c = np.flatnonzero((~np.isin(rows, mine)).sum(1) <= table.edits)
+            want |= {(k, o) for k in owner[c[p9_leaks.within(rows[c], np.repeat(mine[None], len(c), 0), table.edits)]].tolist()}
+    assert got <= want and len(got & want) >= 0.95 * len(want) and len(want) >= 60
 
 
 @settings(max_examples=60, deadline=None)

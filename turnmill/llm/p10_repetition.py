@@ -5,8 +5,8 @@ Six rules measure a document and vote "repeats", "doesn't" or abstain. The count
 not and each rule votes with unknown rates; the posterior of the pattern is the document's probability of repeating. It replaces a
 filter in which all rules must pass.
 
-The first rule measures what p10_found defines, so its rates are given (ANCHOR); the others' are learnt, and no rule but the first shifts the odds
-by more than SHIFT.
+No rule's rates are given, the first one's neither, although it measures what p10_found defines: what a rule is worth is learnt from how it agrees with the
+others. So documents of which one rule alone says that they repeat may be overruled (README: what that costs).
 p10_found takes the documents whose posterior reaches CUT and checks the defined share exactly.
 
 Results: a row a document. Null and empty texts and those under MIN_WORDS words have share 0 and all rules abstain. Rows with the same
@@ -29,12 +29,9 @@ RUN = 5
 MIN_WORDS = 20
 SHARE = 0.3
 CUT = 0.05
-#: Rates of the first rule's votes (doesn't, repeats, abstains) for documents that don't repeat and that do.
-ANCHOR = ((0.999, 1e-9, 0.001), (0.001, 0.998, 0.001))
-SHIFT = 10.0
 
 #: name of a measure, votes "repeats" from, votes "doesn't" up to (between: abstains)
-RULES = (("run_share", 0.3, 0.3), ("sentence_share", 0.25, 0.05), ("line_share", 0.3, 0.0), ("top_share", 0.08, 0.03), ("longest_share", 0.15, 0.05), ("repeat_rate", 0.55, 0.35))
+RULES = (("run_share", 0.3, 0.2), ("sentence_share", 0.25, 0.05), ("line_share", 0.3, 0.0), ("top_share", 0.08, 0.03), ("longest_share", 0.15, 0.05), ("repeat_rate", 0.55, 0.35))
 STATS = ", ".join(f"{n} double" for n, _, _ in RULES)
 
 
@@ -102,29 +99,30 @@ def votes(m: np.ndarray) -> np.ndarray:
     for i, (_, yes, no) in enumerate(RULES):
         v[m[:, i + 1] >= yes, i] = 1
         v[(m[:, i + 1] < yes) & (m[:, i + 1] <= no), i] = 0
-    v[:, 0] = m[:, 1] >= RULES[0][1]
     v[m[:, 0] < MIN_WORDS] = 2
     return v
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Posterior probability of repeating for each vote pattern, by EM over the patterns and how many documents have them."""
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
+    """Posterior probability of repeating for each vote pattern, by EM over the patterns and how many documents have them, until the likelihood stands still."""
     r = patterns.shape[1]
     one = np.stack([(patterns == v) for v in range(3)], 2).astype(float)  # pattern, rule, vote
     # rates[class, rule, vote]: where EM starts, and the prior it keeps
     rates = np.array([[[0.7, 0.05, 0.25]] * r, [[0.2, 0.5, 0.3]] * r])
     prior = rates * 2
-    rates[:, 0] = ANCHOR
     share = 0.1
-    post = np.zeros(len(counts))
+    post, before = np.zeros(len(counts)), -np.inf
     for _ in range(rounds):
-        shift = np.log(rates[1] / rates[0])
-        shift[1:] = np.clip(shift[1:], -np.log(SHIFT), np.log(SHIFT))
-        post = 1 / (1 + np.exp(-np.clip(np.einsum("prv,rv->p", one, shift) + np.log(share / (1 - share)), -500, 500)))
+        like = np.einsum("prv,crv->cp", one, np.log(rates)) + np.log([[1 - share], [share]])
+        both = np.logaddexp(*like)
+        post = np.exp(like[1] - both)
+        now = float((counts * both).sum() / max(1, counts.sum()))
+        if abs(now - before) < tolerance:
+            break
+        before = now
         w = np.stack((counts * (1 - post), counts * post))
         rates = np.einsum("cp,prv->crv", w, one) + prior
         rates /= rates.sum(2, keepdims=True)
-        rates[:, 0] = ANCHOR
         share = min(0.9, max(1e-4, (w[1].sum() + 1) / (counts.sum() + 10)))
     return post
 
