@@ -63,6 +63,16 @@ def test_kinds_and_signals(spark):
 # ---------------------------------------------------------------- 4
 
 
+def test_the_mixture_decides_the_kind(spark, monkeypatch):
+    """With components mapped to another kind, what fits the definitions is no longer found."""
+    rows = [{"id": f"l{i}", "scrubbed_turns": turns("what do I need?", "\n".join(f"- {a} {b}" for a in ("old", "red", "dry") for b in ("map", "sock", "rope")[: 1 + i % 3]))} for i in range(9)]
+    rows += [{"id": f"p{i}", "scrubbed_turns": turns("how?", "You can open the file with the editor. Then it is changed and saved again, and the page shows it after a while. " * (1 + i % 3))} for i in range(30)]
+    df = staged(spark, rows)
+    assert {r[0] for r in p3_quality.found(df).collect()} == {f"l{i}" for i in range(9)}
+    monkeypatch.setattr(p3_quality, "mapped", lambda mixture, x, labels: np.zeros(len(mixture.m), int))
+    assert p3_quality.found(df).count() == 0
+
+
 def test_languages(spark):
     rng = random.Random(2)
     rows, want = [], set()

@@ -2,9 +2,9 @@
 
 Statistics of the assistant turns are standardized and a mixture of Gaussians with diagonal covariance is fitted by expectation-maximization over all
 records: each round is one pass over the table of statistics, of which a row of sums a task comes back. The components start at
-inspected examples (EXAMPLES, written for this purpose) and, once fitted, are mapped to prose, list, table or junk by the examples they answer for.
-A record whose posterior of prose is under PROSE is then held against the definitions: more than half of the non-blank lines are list entries or
-rows of cells; hardly any words are function words of a language.
+inspected examples (EXAMPLES, written for this purpose) and, once the likelihood stands still, are mapped to prose, list, table or junk by the examples nearest to
+them. The kind of a record is that of the components with most of its posterior. p3_found then holds it against the definition of this kind: more than half of the non-blank lines are
+list entries or rows of cells; hardly any words are function words of a language. What fits another kind's definition only is not found.
 
 Results: a row a record in ``statistics``; ``found`` gives (staged_id, kind). Records that don't parse, without turns or without an id have no row
 in ``found``; records without words in assistant turns can be junk only if there is visible text. Stored signals that are null, empty or not an object don't count;
@@ -27,8 +27,8 @@ from turnmill.llm.texts import turns_of, word_spans
 from turnmill.session import written
 
 STATS = ("list_share", "table_share", "common_share", "symbol_ratio", "word_length", "ended_share", "line_words", "distinct_share")
-ROUNDS = 8
-PROSE = 0.98
+#: EM ends when the mean log-likelihood of a record rises by less than TOLERANCE, or after ROUNDS.
+ROUNDS, TOLERANCE = 40, 2e-3
 COMMON_WORDS = 0.12
 KINDS = ("prose", "list", "table", "junk")
 
@@ -60,6 +60,11 @@ EXAMPLES = (
     ("prose", "Primero hay que abrir el archivo con un editor. Luego se cambia la línea y se guarda todo.\nDespués el programa funciona como antes, si no hay otro error."),
     ("prose", "Try this and see what it prints.\n\n```python\nfor x in rows:\n    total += x.size\nprint(total)\n```\n\nThe sum should be the same as in the report."),
     ("prose", "There are three things that you need for this.\n- a knife\n- some oil\n- a pan\nPut the oil into the pan and wait until it is hot. Then cut the bread with the knife.\nIt is done when it is brown."),
+    ("prose", "we opened the old file with another editor after lunch and changed the second line because the first one was still needed by the other team and then we saved it"),
+    ("prose", "Wir haben die alte Datei nach dem Essen noch einmal geöffnet und die zweite Zeile geändert, weil die erste noch gebraucht wird. Danach haben wir sie gespeichert und allen"),
+    ("list", "Here is what you need to take along when you walk up the hill tomorrow.\n- warm coat\n- dry socks\n- some bread\n- cold tea\n- small lamp\n- paper map\n- spare rope\n- old knife"),
+    ("list", "Das brauchst du morgen auf dem Weg nach oben.\n1. warme Jacke\n2. trockene Socken\n3. etwas Brot\n4. kalter Tee\n5. kleine Lampe\n6. alte Karte\n7. neues Seil"),
+    ("list", "Esto es lo que hay que llevar para subir mañana al monte.\n• ropa seca\n• pan duro\n• té frío\n• lámpara chica\n• mapa viejo\n• cuerda nueva"),
     ("list", "- warm bread\n- cold butter\n- two eggs\n- a pinch of salt\n- some milk"),
     ("list", "1. blue paint\n2. small brush\n3. old paper\n4. water\n5. a towel\n6. tape"),
     ("list", "old map\nrain coat\nwater bottle\ngood shoes\nsmall tent\nrope"),
@@ -120,22 +125,26 @@ class Mixture:
         self.v = np.full_like(self.m, 0.5)
         self.w = np.full(len(self.m), 1 / len(self.m))
 
-    def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Posterior of the components, the standardized statistics and the log-likelihood (but for a constant), a row a record."""
         z = (x - self.mean) / self.std
         like = -0.5 * (((z[:, None] - self.m) ** 2 / self.v).sum(2) + np.log(self.v).sum(1)) + np.log(self.w)
-        like -= like.max(1, keepdims=True)
-        p = np.exp(like)
-        return p / p.sum(1, keepdims=True), z
+        top = like.max(1, keepdims=True)
+        p = np.exp(like - top)
+        total = p.sum(1, keepdims=True)
+        return p / total, z, (top + np.log(total)).ravel()
 
     def sums(self, x: np.ndarray) -> np.ndarray:
-        p, z = self.posterior(x)
-        return np.concatenate((p.sum(0)[:, None], p.T @ z, p.T @ z**2), 1)
+        """Of each component: posteriors, of which the statistics and their squares; in a last column, all the same, the log-likelihood and the number of records."""
+        p, z, like = self.posterior(x)
+        both = np.full((len(self.m), 2), (like.sum(), len(x)))
+        return np.concatenate((p.sum(0)[:, None], p.T @ z, p.T @ z**2, both), 1)
 
     def update(self, s: np.ndarray) -> None:
         d = self.m.shape[1]
         n = s[:, :1] + 1e-9
         # a component that answers for few records keeps near where it is (one record's worth of prior)
-        self.v = np.maximum((s[:, 1 + d :] + self.v + self.m**2) / (n + 1) - ((s[:, 1 : 1 + d] + self.m) / (n + 1)) ** 2, self.FLOOR)
+        self.v = np.maximum((s[:, 1 + d : 1 + 2 * d] + self.v + self.m**2) / (n + 1) - ((s[:, 1 : 1 + d] + self.m) / (n + 1)) ** 2, self.FLOOR)
         self.m = (s[:, 1 : 1 + d] + self.m) / (n + 1)
         self.w = (s[:, 0] + 1) / (s[:, 0] + 1).sum()
 
@@ -163,34 +172,43 @@ def statistics(staged: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, _ = mixture.posterior(np.stack([b[s].to_numpy() for s in STATS], 1))
+            p, _, _ = mixture.posterior(np.stack([b[s].to_numpy() for s in STATS], 1))
             yield pa.RecordBatch.from_arrays([*(b[i] for i in range(b.num_columns)), *(pa.array(p[:, kinds == k].sum(1)) for k in range(len(KINDS)))], [*b.schema.names, *(f"p_{k}" for k in KINDS)])
 
     return table.mapInArrow(judge, schema + "".join(f", p_{k} double" for k in KINDS))
 
 
 def fitted(table: DataFrame) -> tuple[Mixture, np.ndarray]:
-    """The mixture after ROUNDS of EM over all rows, and the kind of each component."""
+    """The mixture after EM over all rows, and the kind of each component."""
     moments = table.select(*(F.avg(s).alias(s) for s in STATS), *(F.stddev_pop(s).alias(f"sd_{s}") for s in STATS)).first()
     x = measures([t for _, t in EXAMPLES], stopwords.table())[:, : len(STATS)]
     labels = np.array([KINDS.index(k) for k, _ in EXAMPLES])
     if moments[STATS[0]] is None:
         return Mixture(x.mean(0), x.std(0), x), labels
     mixture = Mixture(np.array([moments[s] for s in STATS]), np.array([moments[f"sd_{s}"] for s in STATS]), x)
+    before = -np.inf
     for _ in range(ROUNDS):
 
         def sums(batches: Iterator[pa.RecordBatch], mixture: Mixture = mixture) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(x), 1 + 2 * len(STATS)))
+            total = np.zeros((len(x), 3 + 2 * len(STATS)))
             for b in batches:
                 total += mixture.sums(np.stack([b[s].to_numpy() for s in STATS], 1))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
         # a row a task
-        mixture.update(sum(np.frombuffer(bytes(r["s"])).reshape(len(x), -1) for r in table.select(*STATS).mapInArrow(sums, "s binary").toLocalIterator()))
-    # each component is of the kind of the examples it answers for
-    p, _ = mixture.posterior(x)
-    share = np.stack([p[labels == k].sum(0) for k in range(len(KINDS))], 1)
-    return mixture, np.where(share.max(1) > 0.2, share.argmax(1), labels)
+        s = sum(np.frombuffer(bytes(r["s"])).reshape(len(x), -1) for r in table.select(*STATS).mapInArrow(sums, "s binary").toLocalIterator())
+        mixture.update(s)
+        now = s[0, -2] / s[0, -1]
+        if now - before < TOLERANCE:
+            break
+        before = now
+    return mixture, mapped(mixture, x, labels)
+
+
+def mapped(mixture: Mixture, x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The kind of each component: that of the inspected example nearest to its mean."""
+    apart = (((x - mixture.mean) / mixture.std)[None] - mixture.m[:, None]) ** 2
+    return labels[apart.sum(2).argmin(1)]
 
 
 def is_stale(signals: str | None, turns: list[tuple[str | None, str]]) -> bool:
@@ -211,7 +229,9 @@ def is_stale(signals: str | None, turns: list[tuple[str | None, str]]) -> bool:
 
 def found(staged: DataFrame) -> DataFrame:
     s = statistics(staged)
-    odd = F.col("p_prose") < PROSE
-    kind = F.when(odd & (F.col("list_share") > 0.5), "list").when(odd & (F.col("table_share") > 0.5), "table").when(odd & (F.col("common_share") < COMMON_WORDS) & (F.col("list_share") + F.col("table_share") <= 0.5) & (F.col("solid") > 0), "junk")
+    # the mixture says the kind, the definition of this kind confirms it
+    likely = F.array_max(F.array(*(F.struct(F.col(f"p_{k}").alias("p"), F.lit(k).alias("kind")) for k in KINDS)))["kind"]
+    holds = {"list": F.col("list_share") > 0.5, "table": F.col("table_share") > 0.5, "junk": (F.col("common_share") < COMMON_WORDS) & (F.col("list_share") + F.col("table_share") <= 0.5) & (F.col("solid") > 0)}
+    kind = F.coalesce(*(F.when((F.col("likely") == k) & ok, k) for k, ok in holds.items()))
     kinds = F.array_compact(F.array(kind, F.when(F.col("stale"), "signals")))
-    return s.select("staged_id", F.explode(kinds).alias("kind")).distinct()
+    return s.withColumn("likely", likely).select("staged_id", F.explode(kinds).alias("kind")).distinct()
