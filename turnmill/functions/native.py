@@ -75,3 +75,8 @@ def share_role(role: Column) -> Column:
 def ladder(scores: dict[str, Column]) -> Column:
     """The first category, in order, whose score is over its threshold, as ml_<category>."""
     return F.coalesce(*(F.when(scores[c] > t, F.lit(f"ml_{c}")) for c, t in P.TOXICITY if c in scores))
+
+
+def as_uuid(hex32: Column) -> Column:
+    """32 hexadecimal digits in the grouping of a UUID."""
+    return F.regexp_replace(hex32, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")

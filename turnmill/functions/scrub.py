@@ -30,8 +30,10 @@ VOCABULARY = os.environ.get("TURNMILL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k
 def dictionary(path: str | None = None) -> frozenset[str]:
     """Lower-case words of four letters or more: of a word list (a word a line), or of a tokenizer's vocabulary file (whole words with a space before them)."""
     path = path or VOCABULARY
+    if not path or path == "none":
+        return frozenset()  # asked for: no dictionary
     if not os.path.exists(path):
-        return frozenset()
+        raise FileNotFoundError(f"no vocabulary at {path}: set TURNMILL_VOCABULARY on all executors, or to none to scrub without a dictionary")
     if path.endswith(".tiktoken"):
         with open(path, "rb") as f:
             words = (base64.b64decode(line.split()[0]) for line in f if line.strip())
@@ -237,6 +239,21 @@ def check_all_udf(rules: Blocklist):
     return F.pandas_udf(_series(check), StringType())
 
 
+def gate_all_udf(rules: Blocklist):
+    """What the gate says of each text of an array: blocked:<category>, pii:<type> or null."""
+    compiled: list = []
+
+    def gate(t: str | None) -> str | None:
+        if not compiled:
+            compiled.extend((c, re.compile(p, re.I)) for c, p in rules.rules)
+        if c := check_content(t, compiled):
+            return f"blocked:{c}"
+        k = check_pii(t)
+        return f"pii:{k}" if k else None
+
+    return F.pandas_udf(_lists(gate), ArrayType(StringType()))
+
+
 def check_content_udf(rules: Blocklist):
     compiled: list = []
 

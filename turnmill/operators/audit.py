@@ -38,3 +38,13 @@ def audit(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def rollup(audited: DataFrame) -> DataFrame:
     return audited.agg(F.count("*").alias("total"), F.count_if(F.size("leaks") > 0).alias("leak_count"), F.count_if(F.col("density") > P.HIGH_DENSITY).alias("high_density"))
+
+
+def leak_report(audited: DataFrame, key: str) -> DataFrame:
+    """(key, kind, examples, preview): a row a record and kind of leak."""
+    return audited.select(key, F.explode("leaks").alias("kind", "hits"), "preview").select(key, "kind", F.array_join("hits", ", ").alias("examples"), F.substring("preview", 1, 40).alias("preview"))
+
+
+def density_report(audited: DataFrame, key: str, over: float = P.HIGH_DENSITY) -> DataFrame:
+    """Records with more placeholders than a share of their words, the densest first."""
+    return audited.where(F.col("density") > over).orderBy(F.desc("density"), key)

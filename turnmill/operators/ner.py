@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -34,10 +35,14 @@ class Gazetteer:
     has_model: bool = False
 
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
-        if not self.names:
-            return []
-        one = "(?:" + "|".join(map(re.escape, sorted(self.names, key=len, reverse=True))) + ")"
-        return [("PERSON", m.start(), m.end(), 1.0) for m in re.finditer(rf"\b{one}(?: {one})*\b", text)]
+        return [("PERSON", m.start(), m.end(), 1.0) for m in _pattern(self.names).finditer(text)] if self.names else []
+
+
+@lru_cache(maxsize=4)
+def _pattern(names: tuple[str, ...]) -> re.Pattern:
+    """Runs of names, compiled once a worker."""
+    one = "(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + ")"
+    return re.compile(rf"\b{one}(?: {one})*\b")
 
 
 TAGS = {"PERSON": "NAME", "LOCATION": "LOCATION", "DATE_TIME": "DATE", "NRP": "GROUP"}
@@ -81,3 +86,44 @@ def scrub_names(df: DataFrame, text: str, backend: Backend) -> DataFrame:
             yield p
 
     return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", scrubbed string, entities long").withColumn("entities", F.col("entities").cast("int"))
+
+
+#: The entities of the service, the turns it takes at once, and the characters it looks at in a turn.
+SERVER_TYPES, SERVER_TURNS, SERVER_CHARS = ("PERSON", "LOCATION"), 200, 100_000
+
+
+def redact_turn(text: str | None, backend: Backend, chars: int | None = None) -> tuple[str | None, int]:
+    """A turn with its entities of SERVER_TYPES tagged, and their number. ``chars``: only so many characters are looked at, the rest is attached as it is. If the backend fails, the turn passes as it is."""
+    if text is None:
+        return None, 0
+    t = normalise(text)
+    head, tail = (t, "") if chars is None else (t[:chars], t[chars:])
+    try:
+        found = [f for f in accept(backend.find(head), head) if f[0] in SERVER_TYPES]
+    except Exception:  # noqa: BLE001 - a failing model must not lose the turn
+        return t, 0
+    numbers: dict[str, int] = {}
+    out, at = [], 0
+    for kind, a, z, _ in found:
+        key = " ".join(head[a:z].casefold().split())
+        out += (head[at:a], f"[NAME_{numbers.setdefault(key, len(numbers) + 1)}]" if kind == "PERSON" else f"[{TAGS[kind]}]")
+        at = z
+    return "".join([*out, head[at:], tail]), len(found)
+
+
+def scrub_turns(df: DataFrame, turns: str, backend: Backend, chars: int | None = None, most: int | None = None) -> DataFrame:
+    """df with ``turns`` redacted, ``entities_per_turn`` and their sum ``entities``. Whole conversations go to the workers in Arrow batches, so nothing is flattened and put together again.
+
+    ``most``: turns beyond are cut off (a service that takes SERVER_TURNS at once does that); by default all are kept, and whole. Null turns have no entities.
+    """
+
+    @F.pandas_udf("array<struct<content:string,n:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda xs: None if xs is None else [dict(zip(("content", "n"), redact_turn(x, backend, chars), strict=True)) for x in xs])
+
+    t = F.col(turns) if most is None else F.slice(turns, 1, most)
+    d = df.withColumn(turns, t).withColumn("_done", run(F.transform(turns, lambda x: x["content"])))
+    d = d.withColumn(turns, F.zip_with(turns, "_done", lambda a, b: F.struct(a["role"].alias("role"), b["content"].alias("content"))))
+    counts = F.coalesce(F.transform("_done", lambda x: x["n"]), F.array().cast("array<int>"))
+    return d.withColumn("entities_per_turn", counts).withColumn("entities", F.aggregate("entities_per_turn", F.lit(0), lambda a, x: a + x)).drop("_done")

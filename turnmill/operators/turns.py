@@ -15,7 +15,6 @@ from turnmill.functions import patterns as P
 
 REQUEST = f"struct<messages:{N.TURNS},prompt:string>"
 RESPONSE = "struct<choices:array<struct<message:struct<content:string>>>,message:struct<content:string>,response:string>"
-SEP, END = "\x1f", "\x1e"
 
 
 def parsed(json: Column, schema: str) -> Column:
@@ -33,17 +32,21 @@ def _with_answer(turns: Column, answer: Column) -> Column:
     return F.when(turns.isNotNull() & (F.coalesce(answer, F.lit("")) != ""), F.concat(turns, F.array(said)))
 
 
-def extract_turns(exchanges: DataFrame) -> DataFrame:
-    """exchanges with ``turns``: of the first shape that fits (messages + choices, messages + message, prompt + response); rows that fit none are left out."""
-    rq, rs = F.col("rq"), F.col("rs")
+def extracted(request: Column, response: Column) -> Column:
+    """Turns of the first shape that fits (messages + choices, messages + message, prompt + response), or null."""
+    rq, rs = parsed(request, REQUEST), parsed(response, RESPONSE)
     asked = F.when(F.coalesce(rq["prompt"], F.lit("")) != "", F.array(F.struct(F.lit("user").alias("role"), rq["prompt"].alias("content"))))
     turns = F.coalesce(
         _with_answer(rq["messages"], F.get(rs["choices"], F.lit(0))["message"]["content"]),
         _with_answer(rq["messages"], rs["message"]["content"]),
         _with_answer(asked, rs["response"]),
     )
-    both = exchanges.withColumn("rq", parsed(F.col("request_json"), REQUEST)).withColumn("rs", parsed(F.col("response_json"), RESPONSE))
-    return both.withColumn("turns", publishable(turns)).drop("rq", "rs").where("turns is not null")
+    return publishable(turns)
+
+
+def extract_turns(exchanges: DataFrame) -> DataFrame:
+    """exchanges with ``turns``; rows that fit no shape are left out."""
+    return exchanges.withColumn("turns", extracted(F.col("request_json"), F.col("response_json"))).where("turns is not null")
 
 
 def to_exchange(turns: Column) -> Column:
@@ -76,8 +79,8 @@ def signals(turns: Column) -> Column:
 
 
 def canonical(turns: Column) -> Column:
-    """One text for the turns, roles and contents apart; null if the turns are."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit(SEP), F.coalesce(t["content"], F.lit("")))), END)
+    """One text for the turns, roles and contents apart, as JSON, so that no content can imitate a boundary; null if the turns are."""
+    return F.to_json(F.transform(turns, lambda t: F.array(F.coalesce(t["role"], F.lit("")), F.coalesce(t["content"], F.lit("")))))
 
 
 def content_hash(turns: Column) -> Column:

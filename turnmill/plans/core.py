@@ -10,9 +10,11 @@ from turnmill.functions import scrub as S
 from turnmill.functions.lang import language
 from turnmill.operators import audit as A
 from turnmill.operators import lifecycle as L
-from turnmill.operators import ner, rates, scoring
+from turnmill.operators import ner, process, rates, scoring
 from turnmill.operators import turns as T
+from turnmill.plans import planted
 from turnmill.plans.registry import Registry
+from turnmill.session import small
 
 CORE = Registry()
 add = CORE.add
@@ -31,6 +33,17 @@ def sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def language_sql(source: str) -> str:
+    """(key, language) of source (key, text), by function words."""
+    from turnmill.functions.lang import LEAST, WORDS
+
+    words = f"list_filter(string_split_regex(lower(coalesce(text, '')), '{SPACE_SQL}'), lambda w: w <> '')"
+    votes = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(sql(x) for x in v.split())}))) AS {k}_" for k, v in WORDS.items())
+    best = "greatest(" + ", ".join(f"{k}_" for k in WORDS) + ")"
+    pick = " ".join(f"WHEN {k}_ = best THEN '{k}'" for k in reversed(sorted(WORDS)))
+    return f"lw AS (SELECT key, {words} AS w FROM ({source})), lv AS (SELECT key, {votes} FROM lw), lb AS (SELECT *, {best} AS best, {' + '.join(f'{k}_' for k in WORDS)} AS total FROM lv), lang AS (SELECT key, CASE WHEN best < {LEAST} * greatest(total, 1) THEN 'unknown' {pick} END AS language FROM lb)"
+
+
 def turns(t, name="staged"):
     return t(name).withColumn("t", F.from_json("scrubbed_turns", N.TURNS))
 
@@ -65,10 +78,13 @@ def usable_samples(t):
     return u.select("line_no", (F.size("x") - 1).cast("long").alias("request_turns"), F.length(F.element_at("x", -1)["content"]).cast("long").alias("response_chars"))
 
 
-@add("min_length_gate", f"WITH {STAGED} SELECT id, coalesce(list_sum(list_transform(t, lambda x: length(x.content))), 0)::BIGINT AS chars FROM s WHERE coalesce(list_sum(list_transform(t, lambda x: length(x.content))), 0) < 300")
+MIN_SQL = "k AS (SELECT line_no, list_filter(messages, lambda x: x.role IN ('user', 'assistant') AND coalesce(x.content, '') <> '') AS t FROM sample_messages), l AS (SELECT line_no, coalesce(list_sum(list_transform(t, lambda x: length(x.content))), 0)::BIGINT AS chars FROM k WHERE t IS NOT NULL)"
+
+
+@add("min_length_gate", f"WITH {MIN_SQL} SELECT CASE WHEN chars < 50 THEN 'short' ELSE 'kept' END AS verdict, count(*) AS n, min(chars) AS least, max(chars) AS most FROM l GROUP BY 1")
 def min_length_gate(t):
-    # 300 instead of the processing's 50, of which these tables hold no row
-    return turns(t).select("id", T.total_length(F.col("t")).cast("long").alias("chars")).where("chars < 300")
+    chars = T.total_length(T.publishable(F.col("messages"))).cast("long")
+    return t("sample_messages").where("messages is not null").select(chars.alias("chars")).groupBy(F.when(F.col("chars") < P.MIN_CHARS, "short").otherwise("kept").alias("verdict")).agg(F.count("*").alias("n"), F.min("chars").alias("least"), F.max("chars").alias("most"))
 
 
 @add("unprocessed_scan", "SELECT id, created_at FROM exchanges WHERE status = 'raw' ORDER BY created_at, id, received_at LIMIT 100")
@@ -84,9 +100,41 @@ def dispositions(t):
     return t("exchanges").groupBy("status", ok("request_json").alias("request_ok"), ok("response_json").alias("response_ok")).agg(F.count("*").alias("n"))
 
 
+#: A blocklist for the pipeline's query: the shipped one blocks nothing in these tables.
+PIPELINE_RULES = S.Blocklist((("billing_topic", r"\binvoices?\b"),))
+
+
+def _process_sql() -> str:
+    turns = CORE.sql["extract_turns"].split("WITH p AS", 1)[1].rsplit("SELECT id, received_at", 1)[0]
+    turns = turns.replace("FROM exchanges)", "FROM exchanges WHERE status = 'raw')", 1).replace("FROM a WHERE t IS NOT NULL)", "FROM a)")
+    text = "array_to_string(list_transform(t, lambda x: x.content), ' ')"
+    return f"""WITH p AS{turns},
+n AS (SELECT row_number() OVER () AS key, id, received_at, t, {text} AS text, coalesce(list_sum(list_transform(t, lambda x: length(x.content))), 0) AS chars FROM f),
+{language_sql('SELECT key, text FROM n')},
+d AS (SELECT n.*, language, CASE WHEN t IS NULL THEN 'unparsed' WHEN chars < 50 THEN 'short' WHEN len(list_filter(t, lambda x: regexp_matches(x.content, '(?i)\\binvoices?\\b'))) > 0 THEN 'blocked:billing_topic' END AS reason FROM n JOIN lang USING (key))
+SELECT id, received_at, CASE WHEN reason IS NULL THEN 'processed' ELSE 'skipped' END AS disposition, reason, CASE WHEN reason IS NULL THEN len(t) END AS turn_count, CASE WHEN reason IS NULL THEN language END AS language FROM d"""
+
+
+@add("process_pipeline", _process_sql())
+def process_pipeline(t):
+    return process.process(t("exchanges"), PIPELINE_RULES).select("id", "received_at", "disposition", "reason", F.col("turn_count").cast("long").alias("turn_count"), "language")
+
+
+@add("process_staged")
+def process_staged(t):
+    """What the pipeline stages; scrubbing has no SQL, tests compare with the plain functions."""
+    return process.staged(process.process(t("exchanges"), PIPELINE_RULES)).drop("created_at")
+
+
+@add("process_marked", f"WITH d AS ({_process_sql()}), m AS (SELECT id, min(disposition) AS new FROM d GROUP BY 1) SELECT CASE WHEN e.status = 'raw' THEN m.new ELSE e.status END AS status, count(*) AS n FROM exchanges e LEFT JOIN m USING (id) GROUP BY 1")
+def process_marked(t):
+    e = t("exchanges")
+    return process.marked(e, process.process(e, PIPELINE_RULES)).groupBy("status").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- dedup
 
-CANON = "array_to_string(list_transform(messages, lambda x: coalesce(x.role, '') || chr(31) || coalesce(x.content, '')), chr(30))"
+CANON = "to_json(list_transform(messages, lambda x: [coalesce(x.role, ''), coalesce(x.content, '')]))"
 
 
 @add("conversation_hash_dedup", f"WITH h AS (SELECT line_no, file_name, sha256({CANON}) AS content_hash FROM sample_messages WHERE messages IS NOT NULL) SELECT content_hash, min(line_no) AS line_no, count(*) AS copies FROM h GROUP BY 1")
@@ -130,18 +178,18 @@ def quality_signals(t):
     return q.select("id", "avg_response_len", "has_code", *(F.col(c).cast("long").alias(c) for c in ("distinct_words", "words", "total_length", "user_msg_count", "assistant_msg_count")))
 
 
-@add("vocab_diversity", SIGNALS + " SELECT id, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(w))::DOUBLE / len(w) END AS vocab_diversity FROM a")
+@add("vocab_diversity", SIGNALS + " SELECT id, CASE WHEN len(w) = 0 THEN 0 ELSE round(len(list_distinct(w))::DOUBLE / len(w), 3) END AS vocab_diversity FROM a")
 def vocab_diversity(t):
     q = turns(t).select("id", T.signals(F.col("t")).alias("q"))
-    return q.select("id", F.when(F.col("q.words") == 0, 0.0).otherwise(F.col("q.distinct_words") / F.col("q.words")).alias("vocab_diversity"))
+    return q.select("id", F.when(F.col("q.words") == 0, 0.0).otherwise(F.round(F.col("q.distinct_words") / F.col("q.words"), 3)).alias("vocab_diversity"))
 
 
 # ---------------------------------------------------------------- languages, counts, lists
 
 
-@add("lang_counts", "SELECT language, count(*) AS n FROM staged WHERE uploaded = 0 GROUP BY 1")
+@add("lang_counts", "SELECT language, count(*) AS n FROM staged WHERE uploaded = 0 GROUP BY 1 ORDER BY n DESC, language")
 def lang_counts(t):
-    return t("staged").where("uploaded = 0").groupBy("language").agg(F.count("*").alias("n"))
+    return t("staged").where("uploaded = 0").groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language")
 
 
 @add("non_english_warning", "SELECT lang, count(*) AS n FROM documents WHERE lang NOT IN ('en', 'unknown') GROUP BY 1")
@@ -149,7 +197,7 @@ def non_english_warning(t):
     return t("documents").where(~F.col("lang").isin("en", "unknown")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@add("language_of_documents")
+@add("language_of_documents", f"WITH {language_sql('SELECT doc_id AS key, text FROM documents')} SELECT key AS doc_id, language FROM lang")
 def language_of_documents(t):
     return t("documents").select("doc_id", language(F.col("text")).alias("language"))
 
@@ -218,18 +266,31 @@ def staged_sources(t):
 
 # ---------------------------------------------------------------- detectors
 
-DOC_MATCH = "SELECT doc_id, len(regexp_extract_all(text, {p})) AS n, md5(array_to_string(regexp_extract_all(text, {p}), '|')) AS found FROM documents WHERE regexp_matches(text, {p})"
-TURN_ROWS = f"WITH {STAGED}, r AS (SELECT id, unnest(t) AS x FROM s), c AS (SELECT id, x.content AS text FROM r)"
+DOCS = f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {planted.values()}) v(doc_id, text))"
+DOC_MATCH = "SELECT doc_id, len(regexp_extract_all(text, {p})) AS n, md5(array_to_string(regexp_extract_all(text, {p}), '|')) AS found FROM " + DOCS.replace("{", "{{").replace("}", "}}") + " WHERE regexp_matches(text, {p})"
+TURN_ROWS = f"WITH {STAGED}, r AS (SELECT id, unnest(t) AS x FROM s), c AS (SELECT id, x.content AS text FROM r UNION ALL SELECT 'planted' || doc_id, text FROM (VALUES {planted.values()}) v(doc_id, text))"
+
+
+def documents(t):
+    """The documents and the planted texts."""
+    d = t("documents").select("doc_id", "text")
+    return d.unionByName(planted.frame(d.sparkSession))
+
+
+def turn_texts(t):
+    """(id, text) of all turns and the planted texts."""
+    c = turns(t).select("id", F.explode("t").alias("x")).select("id", F.col("x.content").alias("text"))
+    return c.unionByName(planted.frame(c.sparkSession).select(F.concat(F.lit("planted"), "doc_id").alias("id"), "text"))
 
 
 def found_in_documents(t, pattern):
     hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    return t("documents").select("doc_id", hits.alias("h")).where(F.size("h") > 0).select("doc_id", F.size("h").cast("long").alias("n"), F.md5(F.array_join("h", "|")).alias("found"))
+    return documents(t).select("doc_id", hits.alias("h")).where(F.size("h") > 0).select("doc_id", F.size("h").cast("long").alias("n"), F.md5(F.array_join("h", "|")).alias("found"))
 
 
 def found_in_turns(t, patterns, flags=""):
     """Records with matches, and how many."""
-    c = turns(t).select("id", F.explode("t").alias("x")).select("id", F.col("x.content").alias("text"))
+    c = turn_texts(t)
     n = sum((F.size(F.regexp_extract_all("text", F.lit(flags + p), F.lit(0))) for p in patterns), F.lit(0))
     return c.groupBy("id").agg(F.sum(n).alias("n")).where("n > 0")
 
@@ -245,7 +306,7 @@ def _detectors() -> None:
         add(f"detect_{name}", DOC_MATCH.format(p=sql(p)) if ok else None)(lambda t, p=p: found_in_documents(t, p))
         add(f"detect_{name}_turns", turns_sql([p]) if ok else None)(lambda t, p=p: found_in_turns(t, [p]))
     add("detect_vendor_secret_turns", turns_sql(P.VENDOR))(lambda t: found_in_turns(t, P.VENDOR))
-    add("detect_block_secret_turns", turns_sql(P.BLOCK[2:8]))(lambda t: found_in_turns(t, P.BLOCK[2:8]))
+    add("detect_block_secret_turns", turns_sql(P.BLOCK))(lambda t: found_in_turns(t, P.BLOCK))
     add("detect_home_path_turns", turns_sql(P.PATHS))(lambda t: found_in_turns(t, P.PATHS))
     for name, p in (("ipv4", P.IPV4), ("ipv6", P.IPV6), ("base64", P.BASE64), ("dotted_token", P.DOTTED)):
         add(f"detect_{name}_turns")(lambda t, p=p: found_in_turns(t, [p]))
@@ -263,11 +324,11 @@ def detect_ssn_turns(t):
 
 
 @add("detect_credit_card_luhn", f"""
-WITH m AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, {sql(P.CARD)})), '[ -]', '', 'g') AS d FROM documents),
+WITH m AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, {sql(P.CARD)})), '[ -]', '', 'g') AS d FROM {DOCS}),
 l AS (SELECT doc_id, list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[length(d) - i + 1]::INT WHEN d[length(d) - i + 1]::INT > 4 THEN 2 * d[length(d) - i + 1]::INT - 9 ELSE 2 * d[length(d) - i + 1]::INT END)) AS s FROM m)
 SELECT doc_id, count(*) FILTER (s % 10 = 0) AS valid, count(*) FILTER (s % 10 <> 0) AS invalid FROM l GROUP BY 1""")
 def detect_credit_card_luhn(t):
-    m = t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.CARD), F.lit(0))).alias("m"))
+    m = documents(t).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.CARD), F.lit(0))).alias("m"))
     ok = F.call_function("luhn_check", F.regexp_replace("m", "[ -]", ""))
     return m.groupBy("doc_id").agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
 
@@ -276,31 +337,30 @@ def detect_credit_card_luhn(t):
 k AS (SELECT token, unnest(string_split(token, '')) AS ch FROM m), f AS (SELECT token, ch, count(*)::DOUBLE AS n FROM k GROUP BY ALL)
 SELECT token, round(-sum(n / length(token) * log2(n / length(token))), 6) + 0.0 AS bits FROM f GROUP BY token""")
 def entropy_of_tokens(t):
-    c = turns(t).select(F.explode("t").alias("x")).select(F.explode(F.regexp_extract_all("x.content", F.lit(P.GENERIC), F.lit(0))).alias("token")).distinct()
+    c = turn_texts(t).select(F.explode(F.regexp_extract_all("text", F.lit(P.GENERIC), F.lit(0))).alias("token")).distinct()
     return c.select("token", F.round(N.entropy(F.col("token")), 6).alias("bits"))
 
 
-@add("redact_simple", f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, {sql(P.EMAIL)}, '[EMAIL]', 'g'), {sql(P.PHONE)}, '[PHONE]', 'g'), {sql(P.STATE_ZIP)}, '[LOCATION]', 'g')) AS text_md5 FROM documents")
+@add("redact_simple", f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, {sql(P.EMAIL)}, '[EMAIL]', 'g'), {sql(P.PHONE)}, '[PHONE]', 'g'), {sql(P.STATE_ZIP)}, '[LOCATION]', 'g')) AS text_md5 FROM {DOCS}")
 def redact_simple(t):
     r = F.col("text")
     for p, tag in ((P.EMAIL, "[EMAIL]"), (P.PHONE, "[PHONE]"), (P.STATE_ZIP, "[LOCATION]")):
         r = F.regexp_replace(r, p, tag)
-    return t("documents").select("doc_id", F.md5(r).alias("text_md5"))
+    return documents(t).select("doc_id", F.md5(r).alias("text_md5"))
 
 
 @add("redact_cards")
 def redact_cards(t):
-    return t("documents").select("doc_id", F.md5(N.redact_cards(F.col("text"))).alias("text_md5"))
+    return documents(t).select("doc_id", F.md5(N.redact_cards(F.col("text"))).alias("text_md5"))
 
 
-@add("url_reduce", r"""
-WITH u AS (SELECT doc_id, 'See https://' || upper(coalesce(source, 'none')) || '.' || CASE WHEN doc_id % 3 = 0 THEN 'top' ELSE 'example' END || '/p?q=' || doc_id || ' now' AS text FROM documents),
-h AS (SELECT doc_id, text, lower(regexp_extract(text, '(?i)https://([^\s/:?#]+)[^\s]*', 1)) AS host FROM u)
-SELECT doc_id, 'See [URL:' || CASE WHEN string_split(host, '.')[-1] = 'top' THEN 'suspicious' ELSE host END || '] now' AS reduced FROM h""")
+@add("url_reduce", rf"""
+WITH u AS (SELECT doc_id, text, regexp_extract_all(text, {sql(P.URL)}) AS m, string_split_regex(text, {sql(P.URL)}) AS gaps FROM {DOCS}),
+h AS (SELECT doc_id, gaps, list_transform(m, lambda x: lower(regexp_extract(x, {sql(P.URL)}, 1))) AS hosts FROM u WHERE len(m) > 0),
+r AS (SELECT doc_id, gaps, list_transform(hosts, lambda x: '[URL:' || CASE WHEN contains(x, '.') AND string_split(x, '.')[-1] IN ({', '.join(map(sql, P.SPAM_TLDS))}) THEN 'suspicious' ELSE x END || ']') AS new FROM h)
+SELECT doc_id, array_to_string(list_transform(gaps, lambda g, i: g || coalesce(new[i], '')), '') AS reduced FROM r""")
 def url_reduce(t):
-    # the tables hold no URL; one is made of each document's source
-    u = F.concat(F.lit("See https://"), F.upper(F.coalesce("source", F.lit("none"))), F.lit("."), F.when(F.col("doc_id") % 3 == 0, "top").otherwise("example"), F.lit("/p?q="), F.col("doc_id"), F.lit(" now"))
-    return t("documents").select("doc_id", N.reduce_urls(u).alias("reduced"))
+    return documents(t).where(F.col("text").rlike(P.URL)).select("doc_id", N.reduce_urls(F.col("text")).alias("reduced"))
 
 
 # ---------------------------------------------------------------- scrub, gate, content
@@ -308,7 +368,7 @@ def url_reduce(t):
 
 @add("scrub_documents")
 def scrub_documents(t):
-    return t("documents").select("doc_id", S.scrub_udf("text").alias("text"))
+    return documents(t).select("doc_id", S.scrub_udf("text").alias("text"))
 
 
 @add("scrub_turns")
@@ -320,13 +380,13 @@ def scrub_turns(t):
 
 @add("gate_check_pii")
 def gate_check_pii(t):
-    return t("documents").select("doc_id", S.check_pii_udf("text").alias("kind")).where("kind is not null")
+    return documents(t).select("doc_id", S.check_pii_udf("text").alias("kind")).where("kind is not null")
 
 
 @add("round_trip_law")
 def round_trip_law(t):
     """What the gate still sees after scrubbing."""
-    return t("documents").select("doc_id", S.check_pii_udf(S.scrub_udf("text")).alias("kind")).where("kind is not null")
+    return documents(t).select("doc_id", S.check_pii_udf(S.scrub_udf("text")).alias("kind")).where("kind is not null")
 
 
 @add("content_filter_flags")
@@ -335,25 +395,44 @@ def content_filter_flags(t):
     return turns(t).select("id", check(F.transform("t", lambda x: x["content"])).alias("category")).where("category is not null")
 
 
-def _published_lines(t):
-    p = L.published(t("staged")).withColumn("turns", F.from_json("turns", N.TURNS)).withColumn("quality_signals", F.from_json("quality_signals", "avg_response_len long, has_code boolean, total_length long"))
-    # every kind of defect is put into some rows
-    line = F.to_json(F.struct("conversation_id", "turns", "turn_count", "language", "quality_signals", "ner_scrubbed"), {"ignoreNullFields": "false"})
-    k = F.pmod(F.crc32("conversation_id"), F.lit(7))
-    bad = F.when(k == 1, F.replace(line, F.lit('"role":"user"'), F.lit('"role":"system"'))).when(k == 2, F.concat(F.lit("{"), F.substring(line, 3, 1 << 30))).when(k == 3, F.replace(line, F.lit('"turn_count":'), F.lit('"turn_count":"x","extra":'))).when(k == 4, F.replace(line, F.lit('"ner_scrubbed":'), F.lit('"ner":'))).otherwise(line)
-    return p.select("conversation_id", k.alias("k"), bad.alias("line"))
-
-
-@add("gate_validate_records")
+_KIND = "coalesce(json_type(line, '$.{k}'), '')"
+_GOOD = "CASE WHEN json_valid(line) THEN line END"
+VALIDATE_SQL = f"""
+WITH l AS (SELECT line_no, line AS raw, CASE WHEN json_valid(line) THEN line END AS line FROM (VALUES {planted.line_values()}) v(line_no, line)),
+e AS (SELECT line_no, line, CASE WHEN line IS NULL THEN 'invalid_json' WHEN {_KIND.format(k='turns')} <> 'ARRAY' THEN 'turns'
+ WHEN {_KIND.format(k='conversation_id')} <> 'VARCHAR' OR NOT regexp_full_match(json_extract_string(line, '$.conversation_id'), '[A-Za-z0-9_-]{{1,128}}') THEN 'conversation_id'
+ WHEN {_KIND.format(k='turn_count')} NOT IN ('BIGINT', 'UBIGINT') THEN 'turn_count'
+ WHEN {_KIND.format(k='language')} <> 'NULL' AND ({_KIND.format(k='language')} <> 'VARCHAR' OR NOT regexp_full_match(json_extract_string(line, '$.language'), '[A-Za-z]{{2,3}}(-[A-Za-z0-9]{{1,8}})*')) THEN 'language'
+ WHEN {_KIND.format(k='quality_signals')} <> 'OBJECT' THEN 'quality_signals'
+ WHEN len(list_filter(json_keys(line, '$.quality_signals'), lambda k: json_type(line, '$.quality_signals.' || k) NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN'))) > 0 THEN 'signal_value'
+ WHEN {_KIND.format(k='ner_scrubbed')} <> 'BOOLEAN' THEN 'ner_scrubbed'
+ WHEN len(list_filter(json_keys(line), lambda k: k NOT IN ({', '.join(map(sql, L.KEYS))}))) > 0 THEN 'unknown_field' END AS error FROM l),
+t AS (SELECT line_no, unnest(range(json_array_length(line, '$.turns')::BIGINT)) AS i, line FROM e WHERE error IS NULL),
+j AS (SELECT line_no, i, json_extract(line, '$.turns[' || i || ']') AS turn FROM t),
+k AS (SELECT line_no, i, json_extract_string(turn, '$.content') AS text, CASE WHEN json_type(turn) <> 'OBJECT' THEN 'turn'
+ WHEN coalesce(json_type(turn, '$.role'), '') <> 'VARCHAR' OR coalesce(json_type(turn, '$.content'), '') <> 'VARCHAR' THEN 'turn_text'
+ WHEN json_extract_string(turn, '$.role') NOT IN ('user', 'assistant') THEN 'role'
+ WHEN len(list_filter(json_keys(turn), lambda x: x NOT IN ('role', 'content'))) > 0 THEN 'turn_field' END AS error FROM j),
+m AS (SELECT line_no, i, coalesce(error, CASE WHEN regexp_matches(text, {sql(P.EMAIL)}) THEN 'pii:email' WHEN regexp_matches(text, {sql(SSN_WIDE)}) THEN 'pii:ssn' WHEN regexp_matches(text, {sql(P.PHONE)}) THEN 'pii:phone' END) AS error FROM k),
+f AS (SELECT line_no, arg_min(error, i) AS error FROM m WHERE error IS NOT NULL GROUP BY 1),
+v AS (SELECT e.line_no, coalesce(e.error, f.error) AS error FROM e LEFT JOIN f USING (line_no))"""
+
+
+@add("gate_validate_records", VALIDATE_SQL + " SELECT line_no, error FROM v")
 def gate_validate_records(t):
-    v = L.validate(_published_lines(t))
-    return v.groupBy("k", "error").agg(F.count("*").alias("n"))
+    return L.validate(planted.line_frame(t("region").sparkSession)).select("line_no", "error")
 
 
-@add("gate_batch_verdict")
+@add("gate_batch_verdict", VALIDATE_SQL + " SELECT line_no % 7 AS batch, count(*) AS lines, min(line_no) FILTER (error IS NOT NULL) AS first_bad, arg_min(error, line_no) FILTER (error IS NOT NULL) AS error FROM v GROUP BY 1")
 def gate_batch_verdict(t):
-    v = L.validate(_published_lines(t)).withColumn("batch", F.substring("conversation_id", 1, 2)).withColumn("number", F.crc32("conversation_id"))
-    return L.batch_verdict(v, "batch", "number")
+    v = L.validate(planted.line_frame(t("region").sparkSession)).withColumn("batch", F.col("line_no") % 7)
+    return L.batch_verdict(v, "batch", "line_no")
+
+
+@add("gate_published_records")
+def gate_published_records(t):
+    """What the gate says of all records as they would be published."""
+    return L.validate(L.published_lines(t("staged"))).groupBy("error").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- audit
@@ -397,6 +476,26 @@ def audit_rollup(t):
     return A.rollup(A.audit(turns(t).select("id", T.joined(F.col("t")).alias("joined")), "id", "joined"))
 
 
+def _report_sql() -> str:
+    parts = []
+    for k, p in P.AUDIT.items():
+        x = IP_OK if k == "ip_address" else f"list_filter(regexp_extract_all(joined, {sql(SSN_WIDE)}), lambda m: m[1:3] <> '000' AND m[1] <> '9' AND m[5:6] <> '00' AND m[8:11] <> '0000')" if k == "ssn" else f"regexp_extract_all(joined, {sql(p)})"
+        parts.append(f"SELECT id, '{k}' AS kind, array_to_string({x}[1:3], ', ') AS examples, joined[1:40] AS preview FROM a WHERE len({x}) > 0")
+    return " UNION ALL ".join(parts)
+
+
+@add("audit_leak_report", f"{AUDIT_SQL} {_report_sql()}")
+def audit_leak_report(t):
+    return A.leak_report(A.audit(turns(t).select("id", T.joined(F.col("t")).alias("joined")), "id", "joined"), "id")
+
+
+@add("audit_density_report", f"{DENSITY_SQL} SELECT id, floor(100.0 * placeholder_count / greatest(word_count, 1))::BIGINT AS density_pct FROM d WHERE placeholder_count::DOUBLE / greatest(word_count, 1) > 0.02 ORDER BY placeholder_count::DOUBLE / greatest(word_count, 1) DESC, id")
+def audit_density_report(t):
+    # records over 2 %, as few of these tables are over the report's 25 %
+    a = A.audit(turns(t).select("id", T.joined(F.col("t")).alias("joined")), "id", "joined")
+    return A.density_report(a, "id", 0.02).select("id", F.floor(100 * F.col("placeholder_count") / F.greatest("word_count", F.lit(1))).alias("density_pct"))
+
+
 # ---------------------------------------------------------------- toxicity ladder, names
 
 
@@ -408,7 +507,7 @@ x AS (SELECT id, max(CASE WHEN category = 'abuse' THEN weight END) AS a, max(CAS
 r AS (SELECT id, CASE WHEN a > 0.6 THEN 'ml_insult' WHEN h > 0.6 THEN 'ml_identity_attack' WHEN s > 0.6 THEN 'ml_sexual_explicit' END AS category FROM x) SELECT id, category FROM r WHERE category IS NOT NULL""")
 def toxicity_ladder(t):
     """The ladder on scores of a term provider: the heaviest flag term of each category (terms are few, their number is checked)."""
-    rows = t("flag_terms").where("term is not null").limit(10_001).collect()
+    rows = t("flag_terms").where("term is not null").limit(10_001).collect()  # one more than may be
     if len(rows) > 10_000:
         raise ValueError("more flag terms than an expression may hold")
     terms = [(r["term"].lower(), r["category"], r["weight"]) for r in rows]
@@ -480,19 +579,62 @@ def tier_decay(t):
 
 
 OUTCOME = """WITH m AS (SELECT *, count(*) OVER (PARTITION BY date_trunc('minute', ts)) AS mn, count(*) OVER (PARTITION BY user_id, date_trunc('hour', ts)) AS hn, min(ts) OVER (PARTITION BY user_id) AS first, row_number() OVER (PARTITION BY user_id, event_type, value ORDER BY ts, event_id) AS rn FROM events),
-o AS (SELECT event_id, user_id, CASE WHEN value * 100000 > 2097152 THEN 413 WHEN user_id % 10 = 0 THEN 401 WHEN epoch(ts) - epoch(first) < 3600 THEN 429 WHEN mn > 100 THEN 429 WHEN hn > 10 THEN 429 WHEN rn > 1 THEN 409 WHEN event_type = 'error' THEN 422 WHEN event_id % 50 = 0 THEN 503 ELSE 200 END AS status FROM m)"""
+g AS (SELECT event_id, user_id, CASE WHEN value * 100000 > 2097152 THEN 'too_large' WHEN user_id % 10 = 0 THEN 'auth' WHEN epoch(ts) - epoch(first) < 3600 THEN 'cooldown' WHEN mn > 100 THEN 'minute' WHEN hn > 10 THEN 'hour' WHEN rn > 1 THEN 'duplicate' WHEN event_type = 'error' THEN 'invalid' WHEN event_id % 50 = 0 THEN 'ner' ELSE 'ok' END AS gate FROM m),
+o AS (SELECT *, CASE gate WHEN 'too_large' THEN 413 WHEN 'auth' THEN 401 WHEN 'cooldown' THEN 429 WHEN 'minute' THEN 429 WHEN 'hour' THEN 429 WHEN 'duplicate' THEN 409 WHEN 'invalid' THEN 422 WHEN 'ner' THEN 503 ELSE 200 END AS status FROM g)"""
+
+
+def _with_aggregate(e, agg, keys):
+    """agg joined back to the rows by keys, nulls equal to each other; broadcast if it is small, so that no hot key is shuffled."""
+    a = small(agg.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in agg.columns if c not in keys)))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return e.join(a, same, "left").drop(*(f"_k{i}" for i in range(len(keys))))
 
 
 def outcomes(t):
     e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
     # counts and firsts are aggregates joined back: they are partial before the shuffle, a window would sort hot keys whole
     e = e.withColumn("minute", F.date_trunc("minute", "ts")).withColumn("hour", F.date_trunc("hour", "ts"))
-    e = e.join(e.groupBy("minute").agg(F.count("*").alias("mn")), "minute").join(e.groupBy("user_id", "hour").agg(F.count("*").alias("hn")), ["user_id", "hour"]).join(e.groupBy("user_id").agg(F.min("ts").alias("first")), "user_id")
-    one = e.groupBy("user_id", "event_type", "value").agg(F.min(F.struct("ts", "event_id")).alias("one"))
-    e = e.join(one, ["user_id", "event_type", "value"]).withColumn("rn", F.when(F.struct("ts", "event_id") == F.col("one"), 1).otherwise(2))
+    base = e
+    e = _with_aggregate(e, base.groupBy("minute").agg(F.count("*").alias("mn")), ["minute"])
+    e = _with_aggregate(e, base.groupBy("user_id", "hour").agg(F.count("*").alias("hn")), ["user_id", "hour"])
+    e = _with_aggregate(e, base.groupBy("user_id").agg(F.min("ts").alias("first")), ["user_id"])
+    e = _with_aggregate(e, base.groupBy("user_id", "event_type", "value").agg(F.min(F.struct("ts", "event_id")).alias("one")), ["user_id", "event_type", "value"])
     age = F.unix_micros("ts") / 1e6 - F.unix_micros("first") / 1e6
-    status = rates.upload_outcome(F.col("value") * 100000, F.col("user_id") % 10 != 0, age, F.col("mn"), F.col("hn"), F.lit(10), F.col("rn") > 1, F.col("event_type") != "error", F.col("event_id") % 50 != 0)
-    return e.select("event_id", "user_id", status.alias("status"))
+    gate = rates.upload_gate(F.col("value") * 100000, F.col("user_id") % 10 != 0, age, F.col("mn"), F.col("hn"), F.lit(10), F.struct("ts", "event_id") != F.col("one"), F.col("event_type") != "error", F.col("event_id") % 50 != 0)
+    return e.select("event_id", "user_id", gate.alias("gate")).withColumn("status", rates.status_of(F.col("gate")))
+
+
+@add("metric_counters", OUTCOME + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) FILTER (gate = '{g}') AS value FROM o" for m, g in rates.COUNTERS.items()) + " UNION ALL SELECT 'uploads_failed', count(*) FILTER (gate <> 'ok') FROM o)")
+def metric_counters(t):
+    return rates.counters(outcomes(t))
+
+
+REGISTER = """WITH m AS (SELECT *, row_number() OVER (PARTITION BY user_id % 5, date_trunc('minute', ts) ORDER BY ts, event_id) AS n FROM events),
+d AS (SELECT *, count(*) FILTER (n <= 10) OVER (PARTITION BY user_id % 5, date_trunc('day', ts) ORDER BY ts, event_id) AS day_n FROM m)"""
+
+
+@add("registration_limits", REGISTER + " SELECT event_id, CASE WHEN n > 10 THEN 'flood' WHEN day_n > 3 THEN 'limited' ELSE 'ok' END AS outcome FROM d")
+def registration_limits(t):
+    # the address of an attempt is made of the user
+    return rates.registrations(t("events").withColumn("address", F.col("user_id") % 5), "address", "ts", "event_id").select("event_id", "outcome")
+
+
+@add("ttl_contributions_90d", "WITH p AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) SELECT event_id FROM p WHERE prev IS NULL OR ts > prev + INTERVAL 90 DAY")
+def ttl_contributions_90d(t):
+    return rates.ttl_first(t("events"), ["user_id"], "ts", "event_id", rates.CONTRIBUTION_TTL).select("event_id")
+
+
+@add("ttl_device_codes", "WITH p AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id % 5, event_type ORDER BY ts, event_id) AS prev FROM events) SELECT event_id FROM p WHERE prev IS NULL OR ts > prev + INTERVAL 600 SECOND")
+def ttl_device_codes(t):
+    return rates.ttl_first(t("events").withColumn("device", F.col("user_id") % 5), ["device", "event_type"], "ts", "event_id", rates.DEVICE_TTL).select("event_id")
+
+
+@add("purge_totals", "SELECT (SELECT count(*) FROM exchanges) AS exchanges, (SELECT count(*) FROM staged) AS staged, (SELECT count(DISTINCT e.id) FROM exchanges e JOIN staged s ON s.exchange_id = e.id WHERE s.uploaded = 1 AND e.status = 'processed') AS purgeable")
+def purge_totals(t):
+    e, s = t("exchanges"), t("staged")
+    return e.agg(F.count("*").alias("exchanges")).crossJoin(s.agg(F.count("*").alias("staged"))).crossJoin(L.purgeable(e, s).agg(F.count_distinct("id").alias("purgeable")))  # one row each
 
 
 @add("upload_outcome_ladder", OUTCOME + " SELECT event_id, status FROM o")
@@ -550,13 +692,23 @@ def manual_redaction(t):
     return turns(t).select("id", F.md5(T.joined(r)).alias("text_md5"))
 
 
-@add("chunk_packing", """
-WITH RECURSIVE d AS (SELECT strftime(created_at, '%Y-%m-%d') AS batch, created_at, id, strlen(scrubbed_turns) + 1 AS bytes, row_number() OVER (PARTITION BY strftime(created_at, '%Y-%m-%d') ORDER BY created_at, id) AS rn FROM staged),
-f AS (SELECT batch, id, rn, bytes, bytes AS size, 1 AS chunk FROM d WHERE rn = 1 UNION ALL
- SELECT d.batch, d.id, d.rn, d.bytes, CASE WHEN f.size + d.bytes > 262144 THEN d.bytes ELSE f.size + d.bytes END, CASE WHEN f.size + d.bytes > 262144 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN d ON d.batch = f.batch AND d.rn = f.rn + 1)
-SELECT batch, id, chunk::BIGINT AS chunk, bytes::BIGINT AS bytes FROM f""")
+LINE_BYTES = f"""strlen(to_json(t)) + strlen(json(quality_signals)) + length(coalesce(turn_count::VARCHAR, 'null')) + CASE WHEN language IS NULL OR language = 'unknown' THEN 4 ELSE strlen(language) + 2 END + CASE WHEN ner_scrubbed <> 0 THEN 4 ELSE 5 END + {len('{"conversation_id":"","turns":,"turn_count":,"language":,"quality_signals":,"ner_scrubbed":}') + 36 + 1}"""
+
+
+@add("chunk_packing", f"""
+WITH RECURSIVE {STAGED}, d AS (SELECT created_at, id, {LINE_BYTES} AS bytes, row_number() OVER (ORDER BY created_at, id) AS rn FROM s WHERE json_valid(scrubbed_turns) AND json_valid(quality_signals)),
+f AS (SELECT id, rn, bytes, bytes AS size, 1 AS chunk FROM d WHERE rn = 1 UNION ALL
+ SELECT d.id, d.rn, d.bytes, CASE WHEN f.size + d.bytes > 262144 THEN d.bytes ELSE f.size + d.bytes END, CASE WHEN f.size + d.bytes > 262144 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN d ON d.rn = f.rn + 1)
+SELECT id, chunk::BIGINT AS chunk, bytes::BIGINT AS bytes FROM f""")
 def chunk_packing(t):
-    return L.chunks(t("staged"), ["created_at", "id"], "scrubbed_turns").select("batch", "id", "chunk", F.col("bytes").cast("long").alias("bytes"))
+    lines = L.published_lines(t("staged")).select("created_at", "id", (F.octet_length("line") + 1).alias("size"))
+    return L.chunks(lines, ["created_at", "id"], "size").select("id", "chunk", "bytes")
+
+
+@add("leases_taken", "WITH m AS (SELECT id FROM staged WHERE approved = 1 AND uploaded = 0 AND fail_count < 3 ORDER BY created_at, id LIMIT 100) SELECT id FROM m")
+def leases_taken(t):
+    s = t("staged")
+    return L.lease(s, 100).where("uploaded = -1").join(L.eligible(s).select("id"), "id", "left_semi").select("id")
 
 
 # ---------------------------------------------------------------- sources' scalar parts
@@ -584,45 +736,47 @@ def content_block_flatten(t):
     return t("sample_messages").where("messages is not null").select("line_no", F.md5(N.content_blocks(blocks)).alias("text_md5"))
 
 
-EDGES = "e AS (SELECT line_no, i AS node, CASE WHEN i = 0 THEN NULL WHEN i % 3 = 0 THEN i - 2 ELSE i - 1 END AS parent FROM sample_messages, range(0, 1000) r(i) WHERE i < len(messages))"
+EDGES = "e AS (SELECT line_no, i AS node, CASE WHEN i = 0 THEN NULL WHEN i % 3 = 0 THEN i - 2 ELSE i - 1 END AS parent, messages[i + 1] AS m FROM sample_messages, range(0, 1000) r(i) WHERE i < len(messages))"
+STRIPPED = f"regexp_replace(regexp_replace(m.content, '^{SPACE_SQL}', ''), '{SPACE_SQL}$', '')"
+WALKED = f"SELECT line_no, count(*) AS turns, md5(string_agg({STRIPPED}, '|' ORDER BY depth)) AS text_md5 FROM w WHERE m.role IN ('user', 'assistant') AND coalesce({STRIPPED}, '') <> '' GROUP BY 1"
 
 
-@add("tree_first_child", f"""WITH RECURSIVE {EDGES}, c AS (SELECT line_no, parent, min(node) AS node FROM e WHERE parent IS NOT NULL GROUP BY ALL),
-w AS (SELECT line_no, node, 1 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT w.line_no, c.node, w.depth + 1 FROM w JOIN c ON c.line_no = w.line_no AND c.parent = w.node)
-SELECT line_no, max(depth)::BIGINT AS depth, sum(node)::BIGINT AS nodes FROM w GROUP BY 1""")
-def tree_first_child(t):
-    e = _unlimited(_edges(t))
-    e.createOrReplaceTempView("_tm_edges")
-    return e.sparkSession.sql(
-        "WITH RECURSIVE c AS (SELECT line_no, parent, min(node) AS node FROM _tm_edges WHERE parent IS NOT NULL GROUP BY line_no, parent), "
-        "w(line_no, node, depth) AS (SELECT line_no, node, 1 FROM _tm_edges WHERE parent IS NULL UNION ALL SELECT c.line_no, c.node, w.depth + 1 FROM w JOIN c ON c.line_no = w.line_no AND c.parent = w.node) "
-        "SELECT line_no, CAST(max(depth) AS BIGINT) AS depth, CAST(sum(node) AS BIGINT) AS nodes FROM w GROUP BY line_no"
-    )
+def _walked(t, path_of):
+    """Turns on a path through each line's messages, linked as in EDGES, by one of the two walks."""
+
+    def run(parts):
+        for p in parts:
+            out = [path_of([None if m is None else (m["role"], m["content"]) for m in ms], [None if i == 0 else i - 2 if i % 3 == 0 else i - 1 for i in range(len(ms))]) for ms in p["messages"]]
+            p["turns"], p["text"] = [len(x) for x in out], ["|".join(c for _, c in x) for x in out]
+            yield p[["line_no", "turns", "text"]]
+
+    d = t("sample_messages").where(F.size("messages") > 0).select("line_no", "messages").mapInPandas(run, "line_no long, turns long, text string")
+    return d.where("turns > 0").select("line_no", "turns", F.md5("text").alias("text_md5"))
+
 
+def _mapping_path(messages, parents):
+    from turnmill.sources.trees import first_child_path
 
-def _unlimited(df):
-    """Recursion ends with the tree, not at Spark's limits of levels and rows."""
-    for name in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
-        df.sparkSession.conf.set(name, "-1")
-    return df
+    return first_child_path({str(i): {"parent": None if p is None else str(p), "message": {"author": {"role": m and m[0]}, "content": {"parts": [m and m[1]]}}} for i, (m, p) in enumerate(zip(messages, parents, strict=True))})
 
 
-def _edges(t):
-    x = t("sample_messages").where(F.size("messages") > 0).select("line_no", F.posexplode("messages").alias("node", "m"))
-    parent = F.when(F.col("node") == 0, None).when(F.col("node") % 3 == 0, F.col("node") - 2).otherwise(F.col("node") - 1)
-    return x.select("line_no", "node", parent.alias("parent"))
+def _branch_path(messages, parents):
+    from turnmill.sources.trees import active_branch
+
+    listed = [{"id": str(i), "parentId": None if p is None else str(p), "role": m and m[0], "content": m and m[1]} for i, (m, p) in enumerate(zip(messages, parents, strict=True))]
+    return active_branch({"messages": listed, "history": {"currentId": str(len(messages) - 1)}})
+
+
+@add("tree_first_child", f"""WITH RECURSIVE {EDGES}, c AS (SELECT line_no, parent, min(node) AS node FROM e WHERE parent IS NOT NULL GROUP BY ALL),
+w AS (SELECT line_no, node, m, 1 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT w.line_no, c.node, e.m, w.depth + 1 FROM w JOIN c ON c.line_no = w.line_no AND c.parent = w.node JOIN e ON e.line_no = c.line_no AND e.node = c.node) {WALKED}""")
+def tree_first_child(t):
+    return _walked(t, _mapping_path)
 
 
-@add("tree_active_branch", f"""WITH RECURSIVE {EDGES}, w AS (SELECT line_no, node, parent, 1 AS depth FROM e WHERE (line_no, node) IN (SELECT (line_no, max(node)) FROM e GROUP BY line_no)
-UNION ALL SELECT e.line_no, e.node, e.parent, w.depth + 1 FROM w JOIN e ON e.line_no = w.line_no AND e.node = w.parent) SELECT line_no, max(depth)::BIGINT AS depth, sum(node)::BIGINT AS nodes FROM w GROUP BY 1""")
+@add("tree_active_branch", f"""WITH RECURSIVE {EDGES}, b AS (SELECT line_no, node, parent, m, 1 AS back FROM e WHERE (line_no, node) IN (SELECT (line_no, max(node)) FROM e GROUP BY line_no)
+UNION ALL SELECT e.line_no, e.node, e.parent, e.m, b.back + 1 FROM b JOIN e ON e.line_no = b.line_no AND e.node = b.parent), w AS (SELECT line_no, m, -back AS depth FROM b) {WALKED}""")
 def tree_active_branch(t):
-    e = _unlimited(_edges(t))
-    e.createOrReplaceTempView("_tm_edges2")
-    return e.sparkSession.sql(
-        "WITH RECURSIVE l AS (SELECT line_no, max(node) AS node FROM _tm_edges2 GROUP BY line_no), "
-        "w(line_no, node, parent, depth) AS (SELECT e.line_no, e.node, e.parent, 1 FROM _tm_edges2 e JOIN l ON e.line_no = l.line_no AND e.node = l.node UNION ALL SELECT e.line_no, e.node, e.parent, w.depth + 1 FROM w JOIN _tm_edges2 e ON e.line_no = w.line_no AND e.node = w.parent) "
-        "SELECT line_no, CAST(max(depth) AS BIGINT) AS depth, CAST(sum(node) AS BIGINT) AS nodes FROM w GROUP BY line_no"
-    )
+    return _walked(t, _branch_path)
 
 
 # ---------------------------------------------------------------- scores, streams
@@ -679,28 +833,27 @@ def _stream(t, table):
     return reader.parquet(folder) if name.startswith("part-") else reader.option("pathGlobFilter", name).parquet(folder)
 
 
-@add("stream_rate_window", "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS n FROM events GROUP BY 1")
-def stream_rate_window(t):
-    import uuid
+def _ran(stream, latest=None):
+    """The stream's result over what is there now, through the shared folder; ``latest``: of rows with the same of these columns the last."""
+    from turnmill.session import folder_of
+    from turnmill.streaming import windows
+
+    base = folder_of(stream.sparkSession)
+    return windows.run_updates(stream, f"{base}/out", f"{base}/check", latest) if latest else windows.run(stream, f"{base}/out", f"{base}/check")
 
-    from turnmill.session import shared_dir
+
+@add("stream_rate_window", "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, user_id % 5 AS address, count(*) AS n, least(count(*), 10) AS allowed FROM events GROUP BY ALL")
+def stream_rate_window(t):
     from turnmill.streaming import windows
 
-    s = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"tm_{uuid.uuid4().hex}"
-    q = windows.counts(s, "ts", "1 hour", "2 hours").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(s.sparkSession)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.sparkSession.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+    s = _stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5).alias("address"))
+    n = _ran(windows.counts(s, "ts", "1 hour", "2 hours", "address"), ["address", "window_start"])
+    return n.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "address", "n", F.least("n", F.lit(10).cast("long")).alias("allowed"))
 
 
-@add("stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY ALL")
+@add("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(t):
-    import uuid
-
-    from turnmill.session import shared_dir
     from turnmill.streaming import windows
 
     s = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    base = f"{shared_dir(s.sparkSession)}/tm_{uuid.uuid4().hex}"
-    out = windows.run(windows.first_within(s, ["event_id"], "ts"), f"{base}/out", f"{base}/check")
-    return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return _ran(windows.first_within(s, ["user_id", "event_type"], "ts")).select("user_id", "event_type")

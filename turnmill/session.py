@@ -32,10 +32,12 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Where it is unset, as in tests, a temporary one is taken for the whole process."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, as in tests, a temporary one is taken for the whole process; on a cluster it must be set."""
     global _temporary
     if d := spark.conf.get("spark.checkpoint.dir", None):
         return d.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     _temporary = _temporary or "file://" + tempfile.mkdtemp(prefix="turnmill-")
     return _temporary
 
@@ -56,20 +58,27 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-@atexit.register
-def _remove() -> None:
-    for folder, spark in _folders.items():
+def clear() -> None:
+    """Removes the tables written so far. Results that read them must be consumed before."""
+    for folder, spark in list(_folders.items()):
         try:
             jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(hadoop).delete(path, True)
         except Exception:  # noqa: BLE001 - the session may be gone
             pass
+        _folders.pop(folder, None)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most ``rows`` rows (counted first), else df itself."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+atexit.register(clear)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most ``rows`` rows of ``size`` bytes in all (measured first), else df itself."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    one = sum(wide, F.lit(8 * max(1, len(df.columns) - len(wide))))
+    n, b = df.limit(rows + 1).select(one.alias("_b")).agg(F.count("*"), F.coalesce(F.sum("_b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and b <= size else df
 
 
 def tasks(spark: SparkSession) -> int:

@@ -43,12 +43,13 @@ def detect_format(path: str) -> str | None:
             with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
                 return "sqlite_chat" if c.execute("select 1 from sqlite_master where type = 'table' and name = 'chat'").fetchone() else None
         if suffix in (".jsonl", ".json"):
-            raw = open(path, "rb").read(1 << 20)
+            with open(path, "rb") as f:
+                first = next((x for x in f if x.strip()), b"")  # the whole line, however long
             try:
-                head = raw.decode("utf-8", "strict")
+                line = first.decode("utf-8-sig", "strict")
             except UnicodeDecodeError:
-                head = raw.decode("latin-1")
-            return _line_kind(next((x for x in head.splitlines() if x.strip()), ""))
+                line = first.decode("latin-1")
+            return _line_kind(line)
     except (OSError, ValueError, zipfile.BadZipFile, sqlite3.Error, KeyError):
         return None
     return None

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The least gzip level, the largest upload, and how batches are named.
-GZIP_LEVEL, MOST_BYTES = "1", 2 * 1024 * 1024
+GZIP_LEVEL, MOST_BYTES = "BEST_SPEED", 2 * 1024 * 1024
 BATCH_PATH = r"^data/batch_\d{4}-\d{2}-\d{2}_[a-z0-9]+\.jsonl$"
 
 
 def write_batches(records: DataFrame, path: str, day: Column | str) -> None:
-    """Records as gzipped JSON lines below path/date=...; many tasks may write a day, so a hot day is no bottleneck."""
+    """Records as gzipped JSON lines below path/date=...; many tasks may write a day, so a hot day is no bottleneck. The level is a setting of the session's Hadoop configuration, not of the writer."""
     d = F.to_date(F.col(day) if isinstance(day, str) else day).alias("date")
-    records.withColumn("date", d).write.mode("append").partitionBy("date").option("compression", "gzip").option("compressionLevel", GZIP_LEVEL).option("ignoreNullFields", "false").json(path)
+    records.withColumn("date", d).write.mode("append").partitionBy("date").option("compression", "gzip").option("zlib.compress.level", GZIP_LEVEL).option("ignoreNullFields", "false").json(path)
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:

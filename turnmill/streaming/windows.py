@@ -50,6 +50,16 @@ def run(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -
     return spark.read.schema(stream.schema).parquet(folder)
 
 
+def run_updates(stream: DataFrame, folder: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Runs the stream in update mode over what is available. Each micro-batch writes its rows under its number, so that a repeated one overwrites itself; read are, of each of the keys, the last."""
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/batch={i}")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark: SparkSession = stream.sparkSession
+    rest = [c for c in stream.columns if c not in keys]
+    read = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch long").option("basePath", folder).parquet(folder)
+    return read.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+
 def watch(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of new files of a folder, as they come."""
     return spark.readStream.text(folder)
