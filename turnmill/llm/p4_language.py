@@ -136,17 +136,32 @@ def fit(sentences: list[str], labels: np.ndarray, seed: int = 7) -> Kernel:
     return Kernel(weights)
 
 
-def pieces(text: str) -> list[str]:
-    """Sentences of a turn, without code, lists, tables and data records."""
+def _long(text: str) -> bool:
+    """A first look: whether there are places enough between words; the exact count decides."""
+    return text.count(" ") + text.count("'") + text.count("’") + text.count("-") >= MIN_WORDS - 1
+
+
+def located(text: str) -> list[tuple[int, int]]:
+    """Where the sentences of a turn are, without code, lists, tables and data records."""
     if "```" in text:
-        text = FENCE.sub("\n", text)
-    out = []
+        text = FENCE.sub(lambda m: "\n" * len(m[0]), text)
+    out, at = [], 0
     for line in text.split("\n"):
-        if line.count(" ") >= MIN_WORDS - 1 and not (ENTRY.match(line) and line.count(" ") <= 14) and not is_cells(line):
-            out.extend(s for s in SENTENCE.split(line) if s.count(" ") >= MIN_WORDS - 1 and not RECORD.search(s))
+        if _long(line) and not (ENTRY.match(line) and line.count(" ") <= 14) and not is_cells(line):
+            a = 0
+            for s in SENTENCE.split(line):
+                a = line.index(s, a)
+                if _long(s) and not RECORD.search(s):
+                    out.append((at + a, at + a + len(s)))
+                a += len(s)
+        at += len(line) + 1
     return out
 
 
+def pieces(text: str) -> list[str]:
+    return [text[a:z] for a, z in located(text)]
+
+
 def stated(c) -> F.Column:
     """The stated language: lower case, without suffix; null if it states none."""
     x = F.lower(F.split(F.trim(c), "[-_]", 2)[0])
@@ -159,8 +174,8 @@ def trained(staged: DataFrame) -> Kernel | None:
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, TRAIN_ROWS / n))))))
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "scrubbed_turns")
+    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 62) * min(1.0, TRAIN_ROWS / n))))))
+    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 62)) < share[F.col("lang")]).select("lang", "scrubbed_turns")
     sentences: list[str] = []
     labels: list[int] = []
     for lang, turns in sorted((r["lang"], r["scrubbed_turns"] or "") for r in sample.collect()):  # about TRAIN_ROWS a language
@@ -175,8 +190,8 @@ def trained(staged: DataFrame) -> Kernel | None:
 
 
 def segments(staged: DataFrame) -> DataFrame:
-    """(staged_id, turn_no, lang, sentences, confidence, stated): a row a turn and language that it holds."""
-    schema = "staged_id string, turn_no long, lang string, sentences int, confidence double, stated string"
+    """(staged_id, turn_no, lang, sentences, confidence, stated, start, end): a row a turn and language that it holds; its sentences in it lie between the characters start and end."""
+    schema = "staged_id string, turn_no long, lang string, sentences int, confidence double, stated string, start int, end int"
     kernel = trained(staged)
     spark = staged.sparkSession
     if kernel is None:
@@ -189,30 +204,31 @@ def segments(staged: DataFrame) -> DataFrame:
             for lo in range(0, b.num_rows, 400):
                 p = b.slice(lo, 400)
                 ids, langs = p["id"].to_pylist(), p["stated"].to_pylist()
-                texts, turn = [], []
+                texts, turn, places = [], [], []
                 for i, t in enumerate(p["scrubbed_turns"].to_pylist()):
                     for j, (_, c) in enumerate(turns_of(t) or []):
-                        s = pieces(c)
-                        texts.extend(s)
+                        s = located(c)
+                        texts.extend(c[a:z] for a, z in s)
+                        places.extend(s)
                         turn.extend([(i, j)] * len(s))
                 if not texts:
                     continue
-                rows = _decide(texts, turn, langs, k, tab)
+                rows = _decide(texts, turn, places, langs, k, tab)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i, *_ in rows], pa.string()), pa.array([j for _, j, *_ in rows], pa.int64()), pa.array([LANGUAGES[x[2]] for x in rows], pa.string()), pa.array([x[3] for x in rows], pa.int32()), pa.array([x[4] for x in rows], pa.float64()), pa.array([langs[i] for i, *_ in rows], pa.string())],
-                    ["staged_id", "turn_no", "lang", "sentences", "confidence", "stated"],
+                    [pa.array([ids[i] for i, *_ in rows], pa.string()), pa.array([j for _, j, *_ in rows], pa.int64()), pa.array([LANGUAGES[x[2]] for x in rows], pa.string()), pa.array([x[3] for x in rows], pa.int32()), pa.array([x[4] for x in rows], pa.float64()), pa.array([langs[i] for i, *_ in rows], pa.string()), pa.array([x[5] for x in rows], pa.int32()), pa.array([x[6] for x in rows], pa.int32())],
+                    ["staged_id", "turn_no", "lang", "sentences", "confidence", "stated", "start", "end"],
                 )
 
     rows = staged.where("id is not null").select("id", "scrubbed_turns", stated(F.col("language")).alias("stated"))
     return rows.mapInArrow(run, schema)
 
 
-def _decide(texts: list[str], turn: list[tuple[int, int]], langs: list[str | None], kernel: Kernel, tab: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int, float]]:
-    """(record, turn, language, sentences, confidence) of the languages of each turn."""
+def _decide(texts: list[str], turn: list[tuple[int, int]], places: list[tuple[int, int]], langs: list[str | None], kernel: Kernel, tab: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int, float, int, int]]:
+    """(record, turn, language, sentences, confidence, start, end) of the languages of each turn."""
     s, words = kernel.scores(texts)
     best = s.argmax(1)
     top = s[np.arange(len(s)), best]
-    at = np.array([i * 100_000 + j for i, j in turn], np.int64)
+    at = np.array([(i << 32) | j for i, j in turn], np.int64)
     ok = (words >= MIN_WORDS) & ((top > LEAST) | (top - np.partition(s, -2, axis=1)[:, -2] > LEAD))
     u, inv = np.unique(at, return_inverse=True)
     held = np.zeros((len(u), len(LANGUAGES)))
@@ -220,7 +236,7 @@ def _decide(texts: list[str], turn: list[tuple[int, int]], langs: list[str | Non
     main = held.argmax(1)[inv]
     lead = top - s[np.arange(len(s)), main]
     index = {x: i for i, x in enumerate(LANGUAGES)}
-    said = np.array([index.get(x, -1) if x else -1 for x in langs])[at // 100_000]
+    said = np.array([index.get(x, -1) if x else -1 for x in langs])[at >> 32]
     ok &= (best == main) | (lead > LEAD)
     # what is to be reported must also hold function words of its language
     odd = np.flatnonzero(ok & (best != said))
@@ -231,7 +247,18 @@ def _decide(texts: list[str], turn: list[tuple[int, int]], langs: list[str | Non
     conf = 1 / e.sum(1)
     key = inv[ok] * len(LANGUAGES) + best[ok]
     n, c = np.bincount(key), np.bincount(key, weights=conf[ok])
-    return [(int(u[k // len(LANGUAGES)] // 100_000), int(u[k // len(LANGUAGES)] % 100_000), int(k % len(LANGUAGES)), int(n[k]), float(c[k] / n[k])) for k in np.flatnonzero(n)]
+    start, end = np.full(len(n), 1 << 31, np.int64), np.zeros(len(n), np.int64)
+    where = np.array(places, np.int64).reshape(-1, 2)[ok]
+    np.minimum.at(start, key, where[:, 0])
+    np.maximum.at(end, key, where[:, 1])
+    return [(int(u[k // len(LANGUAGES)] >> 32), int(u[k // len(LANGUAGES)] & 0xFFFFFFFF), int(k % len(LANGUAGES)), int(n[k]), float(c[k] / n[k]), int(start[k]), int(end[k])) for k in np.flatnonzero(n)]
+
+
+def documents(staged: DataFrame) -> DataFrame:
+    """(staged_id, lang, confidence, share, mixed): the language of most sentences of each record that has one, and whether it holds others."""
+    s = segments(staged).groupBy("staged_id", "lang").agg(F.sum("sentences").alias("n"), (F.sum(F.col("sentences") * F.col("confidence")) / F.sum("sentences")).alias("confidence"))
+    d = s.groupBy("staged_id").agg(F.max(F.struct("n", "lang", "confidence")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("langs"))
+    return d.select("staged_id", "top.lang", "top.confidence", (F.col("top.n") / F.col("all")).alias("share"), (F.col("langs") > 1).alias("mixed"))
 
 
 def found(staged: DataFrame) -> DataFrame:
