@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,10 +25,11 @@ from pyspark.sql import functions as F
 
 from turnmill.llm import stopwords
 from turnmill.llm.texts import messages_of, turns_of
+from turnmill.session import small, written
 
 KINDS = ("email", "address", "id_number", "phone", "name")
 LEAST_PARTNERS = 3
-SHARE = 1e-5
+FEW_NAMES = 200_000
 
 # ---------------------------------------------------------------- transducers
 
@@ -210,6 +210,10 @@ class Names:
         both = ["(?:" + "|".join(map(re.escape, sorted(x, key=len, reverse=True))) + ")" for x in (given, family)]
         self.any = re.compile(rf"(?<![\w’'@-]){both[0]} (?:[a-z]\. )?{both[1]}(?![\w’'@-])") if given and family else None
 
+    @staticmethod
+    def of(rows) -> Names:
+        return Names({r["word"] for r in rows if r["kind"] == "given"}, {r["word"] for r in rows if r["kind"] != "given"})
+
     def spans(self, text: str, low: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         out = []
         if text == low:
@@ -308,42 +312,66 @@ def _begins(text: str, a: int) -> bool:
 _PART = re.compile(r"-[a-zß-ÿ]")
 
 
-def learn(df: DataFrame, known: DataFrame) -> Names:
-    """Known names, and words that stand like family or given names beside them (see above)."""
-    rows = known.where("name is not null").select(F.lower("name").alias("name"), "kind").distinct().limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("more known names than may be sent to every worker")
-    given, family = {r["name"] for r in rows if r["kind"] == "given"}, {r["name"] for r in rows if r["kind"] != "given"}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, str, str]] = Counter()
-        for b in batches:
-            for tbl, body in zip(b["tbl"].to_pylist(), b["body"].to_pylist(), strict=True):
-                for _, text in _texts(tbl, body):
-                    for m in PAIR.finditer(text):
-                        x, y = m[1].lower(), m[2].lower()
-                        if m[1].isupper() or x in ORDINARY or y in ORDINARY or _PART.search(m[1]):
-                            continue
-                        if x in given and y not in family and y not in given:
-                            seen[y, "family", x] += 1
-                        elif y in family and x not in given and x not in family and x not in TITLES and x not in CUES and not _begins(text, m.start()):
-                            seen[x, "given", y] += 1
-            if len(seen) > 200_000:
-                yield _counted(seen)
-                seen.clear()
-        yield _counted(seen)
-
-    c = df.mapInArrow(run, "word string, kind string, partner string, n long").groupBy("word", "kind", "partner").agg(F.sum("n").alias("n"))
-    per = c.groupBy("word", "kind").agg(F.count("*").alias("partners"), F.sum("n").alias("n")).where(F.col("partners") >= LEAST_PARTNERS)
-    total = c.agg(F.sum("n")).first()[0] or 0
-    for r in per.where(F.col("n") >= SHARE * total).select("word", "kind").toLocalIterator():
-        (given if r["kind"] == "given" else family).add(r["word"])
-    return Names(given, family)
-
-
-def _counted(seen: Counter[tuple[str, str, str]]) -> pa.RecordBatch:
-    k = list(seen)
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()), pa.array([x[2] for x in k], pa.string()), pa.array([seen[x] for x in k], pa.int64())], ["word", "kind", "partner", "n"])
+def learn(df: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, kind), written: the known names, and words that stand like family or given names beside them (see above)."""
+    names = known.where("name is not null").select(F.lower("name").alias("word"), F.when(F.col("kind") == "given", "given").otherwise("family").alias("kind")).distinct()
+    few = names.select("word").distinct().limit(FEW_NAMES + 1).collect()
+    # a first look at the pairs where they are found: one of the two must be known
+    look = df.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in few) if len(few) <= FEW_NAMES else None)
+    pairs = written(df.select("tbl", "body").mapInArrow(lambda batches: _pairs(batches, look.value), "word string, kind string, partner string").distinct(), "pairs")
+    # a pair of words counts if one of them is a known name of its kind, and the other is not known
+    other = pairs.select(F.col("word").alias("x"), F.col("partner").alias("y"), F.col("kind").alias("begins"))
+    g, f = (names.where(f"kind = '{k}'").select(F.col("word").alias(c)) for k, c in (("given", "x"), ("family", "y")))
+    everyone = names.select("word").distinct()
+    families = other.join(small(g), "x").join(small(everyone.withColumnRenamed("word", "y")), "y", "left_anti").select(F.col("y").alias("word"), F.lit("family").alias("kind"), F.col("x").alias("partner"))
+    givens = other.where("begins = 'inside'").join(small(f), "y").join(small(everyone.withColumnRenamed("word", "x")), "x", "left_anti").where(~F.col("x").isin(*TITLES, *CUES)).select(F.col("x").alias("word"), F.lit("given").alias("kind"), F.col("y").alias("partner"))
+    both = families.unionByName(givens).groupBy("word", "kind").agg(F.count_distinct("partner").alias("n")).where(F.col("n") >= LEAST_PARTNERS).select("word", "kind")
+    return written(names.unionByName(both).distinct(), "names")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], known: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    """Capitalised words in a row, of which one at least is known (if it is told what is): the first, whether it begins a sentence, the second."""
+    seen: set[tuple[str, str, str]] = set()
+    for b in batches:
+        for tbl, body in zip(b["tbl"].to_pylist(), b["body"].to_pylist(), strict=True):
+            for _, text in _texts(tbl, body):
+                for m in PAIR.finditer(text):
+                    x, y = m[1].lower(), m[2].lower()
+                    if known is not None and x not in known and y not in known:
+                        continue
+                    if not (m[1].isupper() or x in ORDINARY or y in ORDINARY or _PART.search(m[1])):
+                        seen.add((x, "begins" if _begins(text, m.start()) else "inside", y))
+        if len(seen) > 200_000:
+            yield _counted(seen)
+            seen.clear()
+    yield _counted(seen)
+
+
+def _counted(seen: set[tuple[str, str, str]]) -> pa.RecordBatch:
+    k = sorted(seen)
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in k], pa.string()) for i in range(3)], ["word", "kind", "partner"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tbl, rec_id, word): the words of each record that may be names."""
+    for b in batches:
+        rows = {(tbl, rec, w.lower()) for tbl, rec, body in zip(*(b[c].to_pylist() for c in ("tbl", "rec_id", "body")), strict=True) for _, text in _texts(tbl, body) for w in _NAME_WORD.findall(normalise(text).text)}
+        rows |= {(t, r, w[:-2]) for t, r, w in rows if w[-2:] in ("'s", "’s")}
+        k = sorted(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.int32()), pa.array([x[1] for x in k], pa.string()), pa.array([x[2] for x in k], pa.string())], ["tbl", "rec_id", "word"])
+
+
+_NAME_WORD = re.compile(r"[^\W\d_](?:[\w’'-]*\w)?")
+
+
+def named(df: DataFrame, names: DataFrame) -> tuple[DataFrame, object]:
+    """df with a column ``names``, and the names as a broadcast. Few names are broadcast and the column is null; of many each record gets those among its words."""
+    rows = names.limit(FEW_NAMES + 1).collect()
+    spark = df.sparkSession
+    if len(rows) <= FEW_NAMES:
+        return df.withColumn("names", F.lit(None).cast("array<struct<word:string,kind:string>>")), spark.sparkContext.broadcast(Names.of(rows))
+    own = df.select("tbl", "rec_id", "body").mapInArrow(_words, "tbl int, rec_id string, word string").distinct().join(names, "word").groupBy("tbl", "rec_id").agg(F.collect_set(F.struct("word", "kind")).alias("names"))
+    return df.join(own, ["tbl", "rec_id"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<word:string,kind:string>>"))), spark.sparkContext.broadcast(None)
 
 
 def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
@@ -412,13 +440,25 @@ def bodies(exchanges: DataFrame, staged: DataFrame, samples: DataFrame) -> DataF
     return a.unionByName(b).unionByName(c)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """Repeated rows of a record once, without a shuffle of the others' texts."""
+    again = written(df.groupBy("tbl", "rec_id").count().where("count > 1").select("tbl", "rec_id"), "again")
+    return df.join(small(again), ["tbl", "rec_id"], "left_anti").unionByName(df.join(small(again), ["tbl", "rec_id"], "left_semi").distinct())
+
+
+def _records(b: pa.RecordBatch, shared: object) -> Iterator[tuple[int, str, str, Names]]:
+    """(tbl, rec_id, body, names) of the rows of a batch."""
+    for tbl, rec, body, own in zip(*(b[c].to_pylist() for c in ("tbl", "rec_id", "body", "names")), strict=True):
+        yield tbl, rec, body, shared.value if own is None else Names.of(own)
+
+
 def found(exchanges: DataFrame, staged: DataFrame, samples: DataFrame, known: DataFrame) -> DataFrame:
     df = bodies(exchanges, staged, samples)
-    names = df.sparkSession.sparkContext.broadcast(learn(df, known))
+    df, shared = named(df, learn(df, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(TABLES[tbl], rec, i, kind, text[a:z]) for tbl, rec, body in zip(b["tbl"].to_pylist(), b["rec_id"].to_pylist(), b["body"].to_pylist(), strict=True) for i, text in _texts(tbl, body) for a, z, kind in spans(text, names.value)]
+            rows = [(TABLES[tbl], rec, i, kind, text[a:z]) for tbl, rec, body, names in _records(b, shared) for i, text in _texts(tbl, body) for a, z, kind in spans(text, names)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["tbl", "rec_id", "turn_no", "kind", "value"])
 
@@ -439,12 +479,12 @@ def redact(text: str, names: Names) -> str:
 def redacted(exchanges: DataFrame, staged: DataFrame, samples: DataFrame, known: DataFrame) -> DataFrame:
     """(tbl, rec_id, turn_no, text): every text of the three tables with typed placeholders."""
     df = bodies(exchanges, staged, samples)
-    names = df.sparkSession.sparkContext.broadcast(learn(df, known))
+    df, shared = named(once(df), learn(df, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(TABLES[tbl], rec, i, redact(text, names.value)) for tbl, rec, body in zip(b["tbl"].to_pylist(), b["rec_id"].to_pylist(), b["body"].to_pylist(), strict=True) for i, text in _texts(tbl, body)]
+            rows = [(TABLES[tbl], rec, i, redact(text, names)) for tbl, rec, body, names in _records(b, shared) for i, text in _texts(tbl, body)]
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["tbl", "rec_id", "turn_no", "text"])
 
-    return df.mapInArrow(run, "tbl string, rec_id string, turn_no long, text string").distinct()
+    return df.mapInArrow(run, "tbl string, rec_id string, turn_no long, text string")
