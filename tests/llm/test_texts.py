@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tests.llm.helpers import staged, turns
 from turnmill.llm import p3_quality, p4_language, p5_pii, p6_toxic, p7_pairs, stopwords, texts
@@ -325,3 +327,59 @@ def test_gates_lose_no_personal_data(monkeypatch):
     for t, v in cases.items():
         assert gated[t] == p5_pii.spans(t, names), t
         assert v in [t[a:z] for a, z, _ in gated[t]], t
+
+
+def test_names_beyond_what_is_broadcast_give_the_same(spark, monkeypatch):
+    say = lambda *c: json.dumps([{"role": "user", "content": x} for x in c])
+    rows = [("a", say("Orla Zzebra wrote.", "I met Bram Zzebra and Ines Zzebra there.")), ("b", say("ask Jovan Pellard or pellard", "nothing here")), ("c", say("Zzebra's note, by O. Zzebra")), ("b", say("ask Jovan Pellard or pellard", "nothing here")), (None, say("Orla Zzebra")), ("d", None)]
+    staged_ = spark.createDataFrame(rows, "id string, scrubbed_turns string")
+    ex = spark.createDataFrame([("x", json.dumps({"prompt": "mail Bram Pellard"}))], "id string, request_json string")
+    samples = spark.createDataFrame([(1, [{"role": "user", "content": "Orla Pellard"}, None])], "line_no long, messages array<struct<role:string,content:string>>")
+    known = spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate([("Orla", "given"), ("Bram", "given"), ("Ines", "given"), ("Pellard", "family"), (None, "given")])], "name_id long, name string, kind string")
+    one = sorted(map(tuple, p5_pii.found(ex, staged_, samples, known).collect()))
+    text = sorted(map(tuple, p5_pii.redacted(ex, staged_, samples, known).collect()))
+    assert ("staged", "a", 0, "name", "Orla Zzebra") in one and len(text) == len(set(text)) == 7
+    monkeypatch.setattr(p5_pii, "FEW_NAMES", 1)
+    assert sorted(map(tuple, p5_pii.found(ex, staged_, samples, known).collect())) == one
+    assert sorted(map(tuple, p5_pii.redacted(ex, staged_, samples, known).collect())) == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abZ 4@$!|'’-.?\n*_(\u200b\u0430İß9é", max_size=40))
+def test_places_of_words_are_those_of_the_sentences(text):
+    a, b = p6_toxic.sentences(text), p6_toxic.located(text)
+    assert [len(s) for s in a] == [len(s) for s in b]
+    for words, spots in zip(a, b, strict=True):
+        for w, (x, y) in zip(words, spots, strict=True):
+            assert 0 <= x < y <= len(text)
+            if text.isascii() and text[x:y].isalpha() and not re.search(r"(.)\1\1", text[x:y].lower()):
+                assert w == text[x:y].lower()
+
+
+def test_long_sentences_are_learnt_and_scored_whole():
+    rng = random.Random(1)
+    s = [f"w{rng.randrange(50)}" for _ in range(5000)]
+    f = p6_toxic.Field(np.zeros(((1 << p6_toxic.BITS) + 1, p6_toxic.STATES)), np.zeros((p6_toxic.STATES, p6_toxic.STATES)))
+    m, ends = f.marginals([s, ["a"], ["b", "c"]] * 3)
+    assert len(m) == 3 * 5003 and np.allclose(m, 1 / p6_toxic.STATES, atol=1e-4)
+    groups = list(p6_toxic._groups(np.array([1, 1, 2, 500, 90_000]), np.arange(5)))
+    assert np.concatenate(groups).tolist() == list(range(5)) and groups[-1].tolist() == [4]
+
+
+def test_chance_of_frequent_runs():
+    assert p6_toxic._tail(3, 3, 0.1) == pytest.approx(1e-3) and p6_toxic._tail(150, 200, 0.7) == pytest.approx(0.0695, abs=2e-3)
+    assert p6_toxic._tail(290, 300, 0.95) > 0.05 > p6_toxic._tail(290, 300, 0.5)
+
+
+def test_sentences_of_few_spaces_and_segments_with_places(spark):
+    t = "Bon.\n```\ncode here and there and so on\n```\nC'est l'heure d'y aller. The box was not on the table when we came back."
+    assert [t[a:z] for a, z in p4_language.located(t)] == p4_language.pieces(t) and [x.rstrip(".") for x in p4_language.pieces(t)] == ["C'est l'heure d'y aller", "The box was not on the table when we came back"]
+    rng = random.Random(5)
+    rows = [{"id": f"{lang}{i}", "scrubbed_turns": turns(prose(rng, lang), prose(rng, lang)), "language": lang} for lang in SENTENCES for i in range(30)]
+    rows.append({"id": "mixed", "scrubbed_turns": turns(prose(rng, "en", 3) + " " + prose(rng, "de", 1)), "language": "en"})
+    seg = [r for r in p4_language.segments(staged(spark, rows)).collect() if r["staged_id"] == "mixed"]
+    body = json.loads(rows[-1]["scrubbed_turns"])[0]["content"]
+    de = next(r for r in seg if r["lang"] == "de")
+    assert body[de["start"] : de["end"]] in body and de["start"] > 0 and de["end"] >= len(body) - 1
+    d = {r["staged_id"]: r for r in p4_language.documents(staged(spark, rows)).collect()}
+    assert d["mixed"]["mixed"] and d["mixed"]["lang"] == "en" and d["de0"]["lang"] == "de" and 0 < d["de0"]["confidence"] <= 1

@@ -35,6 +35,8 @@ CATEGORIES = ("abuse", "hate", "sexual")
 STATES = 1 + len(CATEGORIES)
 LABELS = 12_000
 NEGATIVES = 14_000
+#: Words a training example: longer sentences are cut into several.
+PIECE = 200
 BITS = 16
 THRESHOLD = 0.5
 ROUNDS = 20
@@ -112,6 +114,43 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+def located(text: str) -> list[list[tuple[int, int]]]:
+    """Where the words of ``sentences`` stand in the text, in characters. Slower, so it is asked only for what was found."""
+    chars = [(c, i) for i, x in enumerate(text) for c in (_TABLE.get(ord(x), x) or "").lower()]
+    low = "".join(c for c, _ in chars)
+    ends = {m.start() for m in _BANG.finditer(low)} if "!" in low else set()
+    spots: list[tuple[int, int]] = []
+    a = None
+    for i, c in enumerate(low + " "):
+        part = i < len(low) and (c in ".?\n" or i in ends)
+        if part or c.isspace() or c.translate(_PARTING) == " ":
+            if a is not None:
+                spots.append((a, i))
+                a = None
+            if part:
+                spots.append((i, i + 1))
+        elif a is None:
+            a = i
+    words = [("." if low[x:y] in ("?", "\n") or x in ends else low[x:y], x, y) for x, y in spots]
+    words = [(t, x, y) for t, x, y in words if plain(t)]
+    out: list[list[tuple[int, int]]] = [[]]
+    i = 0
+    while i < len(words):
+        j = i
+        while j < len(words) and len(words[j][0]) == 1 and words[j][0] != ".":
+            j += 1
+        if j - i >= 3:
+            out[-1].append((words[i][1], words[j - 1][2]))
+            i = j
+            continue
+        if words[i][0] == ".":
+            out.append([])
+        else:
+            out[-1].append(words[i][1:])
+        i += 1
+    return [[(chars[x][1], chars[y - 1][1] + 1) for x, y in s] for s in out if s]
+
+
 def _despaced(tokens: list[str], words: list[str]) -> tuple[list[str], list[str]]:
     """Three single characters or more in a row are one word."""
     t2, w2, i = [], [], 0
@@ -177,16 +216,25 @@ class Field:
         out = np.zeros((len(x), STATES - 1), np.float32)
         if not len(x):
             return out, ends
-        keep = np.arange(len(ends) - 1)
         length = np.diff(ends)
-        for group in np.array_split(keep[np.argsort(length[keep], kind="stable")], max(1, len(keep) // 256)):
-            if len(group):
-                at, mask = _padded(ends, group)
-                p, _, _ = _forward_backward(score[at], mask, self.trans)
-                out[at[mask]] = p[mask][:, 1:]
+        for group in _groups(length[np.argsort(length, kind="stable")], np.argsort(length, kind="stable")):
+            at, mask = _padded(ends, group)
+            p, _, _ = _forward_backward(score[at], mask, self.trans)
+            out[at[mask]] = p[mask][:, 1:]
         return out, ends
 
 
+def _groups(length: np.ndarray, order: np.ndarray, most: int = 256, places: int = 40_000) -> Iterator[np.ndarray]:
+    """Sentences of about the same length together, at most ``most`` of them and so many that they fill ``places`` when padded (a longer sentence stands alone)."""
+    a = 0
+    while a < len(order):
+        z = min(len(order), a + most)
+        while z > a + 1 and (z - a) * length[z - 1] > places:
+            z = a + max(1, (z - a) // 2)
+        yield order[a:z]
+        a = z
+
+
 def _padded(ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(ends)[which]
     steps = np.arange(n.max())
@@ -262,7 +310,15 @@ def train(sents: list[list[str]], tags: list[np.ndarray], rounds: int = ROUNDS,
 
 def _tail(n: int, of: int, base: float) -> float:
     """Probability of n or more of ``of`` at a rate of base."""
-    return sum(math.comb(of, k) * base**k * (1 - base) ** (of - k) for k in range(n, of + 1)) if of < 200 else 0.0
+    if base <= 0 or base >= 1:
+        return float(base >= 1)
+    total = 0.0
+    for k in range(n, of + 1):
+        term = math.exp(math.lgamma(of + 1) - math.lgamma(k + 1) - math.lgamma(of - k + 1) + k * math.log(base) + (of - k) * math.log1p(-base))
+        total += term
+        if k > of * base and term < 1e-12 * total:
+            break
+    return total
 
 
 def labelled(records: list[tuple[str, int, str | None]], terms: list[tuple[str, str]]) -> tuple[list[list[str]], list[np.ndarray]]:
@@ -338,7 +394,8 @@ def labelled(records: list[tuple[str, int, str | None]], terms: list[tuple[str,
     negatives += pick(rest, NEGATIVES - len(negatives))
     # tagged sentences are few; they are repeated to about an eighth of the rest
     again = max(1, min(10, len(negatives) // (8 * max(1, len(tagged)))))
-    data = [(s[:200], np.full(len(s[:200]), c)) for s, c in tagged] * again + [(s[:200], np.zeros(len(s[:200]), np.int64)) for s in negatives]
+    parts = lambda s: [s[i : i + PIECE] for i in range(0, len(s), PIECE)]
+    data = [(p, np.full(len(p), c)) for s, c in tagged for p in parts(s)] * again + [(p, np.zeros(len(p), np.int64)) for s in negatives for p in parts(s)]
     return [s for s, _ in data], [t for _, t in data]
 
 
@@ -360,19 +417,19 @@ def fitted(staged: DataFrame, labels: DataFrame, flag_terms: DataFrame) -> Field
 
 
 def scores(staged: DataFrame, labels: DataFrame, flag_terms: DataFrame) -> DataFrame:
-    """(staged_id, abuse, hate, sexual, spans): spans are the offending words' places: turn, sentence, first and last word, category."""
-    schema = "staged_id string, abuse double, hate double, sexual double, spans array<struct<turn_no: long, sentence: int, first: int, last: int, category: string>>"
+    """(staged_id, abuse, hate, sexual, spans): spans are where the offending words stand: turn, first character and the one behind the last, category."""
+    schema = "staged_id string, abuse double, hate double, sexual double, spans array<struct<turn_no: long, start: int, end: int, category: string>>"
     field = fitted(staged, labels, flag_terms)
     if field is None:
         return staged.where("id is not null").select(F.col("id").alias("staged_id"), *(F.lit(0.0).alias(c) for c in CATEGORIES), F.expr(f"cast(array() as {schema.split('spans ')[1]})").alias("spans"))
     shared = staged.sparkSession.sparkContext.broadcast(field)
-    kind = pa.list_(pa.struct([("turn_no", pa.int64()), ("sentence", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("category", pa.string())]))
+    kind = pa.list_(pa.struct([("turn_no", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("category", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 300):
                 p = b.slice(lo, 300)
-                ids, sents, where = [], [], []
+                ids, sents, where, contents = [], [], [], []
                 for i, t in zip(p["id"].to_pylist(), p["scrubbed_turns"].to_pylist(), strict=True):
                     if (turns := turns_of(t)) is None:
                         continue
@@ -381,6 +438,7 @@ def scores(staged: DataFrame, labels: DataFrame, flag_terms: DataFrame) -> DataF
                         sents += new
                         where += [(len(ids), j, k) for k in range(len(new))]
                     ids.append(i)
+                    contents.append([c for _, c in turns])
                 best = np.zeros((len(ids), len(CATEGORIES)))
                 spans: list[list[dict]] = [[] for _ in ids]
                 m, ends = shared.value.marginals(sents)
@@ -391,7 +449,8 @@ def scores(staged: DataFrame, labels: DataFrame, flag_terms: DataFrame) -> DataF
                         rec, turn, k = where[s]
                         c = int(top[s].argmax())
                         hit = np.flatnonzero(m[ends[s] : ends[s + 1], c] >= THRESHOLD)
-                        spans[rec].append({"turn_no": turn, "sentence": k, "first": int(hit[0]), "last": int(hit[-1]), "category": CATEGORIES[c]})
+                        words = located(contents[rec][turn])[k]
+                        spans[rec].append({"turn_no": turn, "start": words[hit[0]][0], "end": words[hit[-1]][1], "category": CATEGORIES[c]})
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(pa.array(best[:, c]) for c in range(len(CATEGORIES))), pa.array(spans, kind)], ["staged_id", *CATEGORIES, "spans"])
 
     return staged.where("id is not null").select("id", "scrubbed_turns").mapInArrow(run, schema)

@@ -98,6 +98,13 @@ def p4_segments(t):
     return p4_language.segments(t("staged"))
 
 
+@LLM.add("p4_documents")
+def p4_documents(t):
+    from turnmill.llm import p4_language
+
+    return p4_language.documents(t("staged"))
+
+
 @LLM.add("p5_found")
 def p5_found(t):
     from turnmill.llm import p5_pii
