@@ -132,6 +132,8 @@ _EN_CAP = re.compile(_NUMBER_FIRST.replace("<CAP>", _CAP))
 _EN_LOOSE = re.compile(_NUMBER_FIRST.replace("<CAP>", r"(?!(?:the|a|an|of|and|or|to|in|on|is|are|was|more)\b)[\w’'-]+"), re.I)
 #: Their beginnings alone: looked for before the expression is run.
 _ES_HINT = re.compile(rf"(?<!\w)(?:{_ES})", re.I)
+#: What such an address ends in.
+_CAP_NUMBER = re.compile(r"[A-ZÀ-ÖØ-Þ][\w’'-]*,?[ ](?:(?i:n[.ºo°]{1,2}|núm\.|número|numero)[ ]?)?\d")
 
 
 def addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
@@ -141,7 +143,7 @@ def addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
             continue
         if loose or m[0] == m[0].upper() or _EN_CAP.match(text, m.start()):
             yield m.span()
-    if _ES_HINT.search(text):
+    if _CAP_NUMBER.search(text) and _ES_HINT.search(text):
         for m in _ES_WORDS.finditer(text):
             yield m.span()
     for m in _DE_WORDS.finditer(text):
@@ -396,7 +398,7 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
         for m in ID_SHAPE.finditer(t):
             if not THING.search(t[max(0, m.start() - 24) : m.start()]):
                 add(m.start(), m.end(), "id_number")
-        if _ID_HINT.search(t):
+        if _FIVE.search(t) and _ID_HINT.search(t):
             for m in ID_LABEL.finditer(t):
                 v = m["v"]
                 if not DATE.match(v) and not re.search(r"row[ _]id|order|error", m[0], re.I) and not re.search(r"(?:row|order|error|line|session|user|message|request|process)[ _-]?$", t[: m.start()][-12:], re.I):
@@ -411,6 +413,8 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
 
 
 _DIGIT_ANY = re.compile(r"\d")
+#: The five digits that the number after a label has, with what may stand between them.
+_FIVE = re.compile(r"\d(?:[A-Za-z]{0,3}[ ./-]?\d){4}")
 #: The labels that ID_LABEL begins with, without what follows.
 _ID_HINT = re.compile(ID_LABEL.pattern[: ID_LABEL.pattern.index("(?i:[")].removeprefix("(?i:").removesuffix(")"), re.I)
 _PLACEHOLDER = re.compile(r"\[[A-Z][A-Z_]*(?:_\d+)?(?::[^\]]*)?\]")
