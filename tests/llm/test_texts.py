@@ -322,7 +322,7 @@ def test_gates_lose_no_personal_data(monkeypatch):
     }
     names = p5_pii.Names({"anna"}, {"smith"})
     gated = {t: p5_pii.spans(t, names) for t in cases}
-    for gate in ("_DIGIT_ANY", "_ID_HINT", "_ES_HINT", "_MAY_AT"):
+    for gate in ("_DIGIT_ANY", "_ID_HINT", "_ES_HINT", "_MAY_AT", "_FIVE", "_CAP_NUMBER"):
         monkeypatch.setattr(p5_pii, gate, re.compile(""))
     for t, v in cases.items():
         assert gated[t] == p5_pii.spans(t, names), t
@@ -366,6 +366,14 @@ def test_long_sentences_are_learnt_and_scored_whole():
     assert np.concatenate(groups).tolist() == list(range(5)) and groups[-1].tolist() == [4]
 
 
+def test_scaled_passes_equal_those_of_logarithms():
+    rng = np.random.default_rng(3)
+    s = rng.normal(0, 8, (40, 30, p6_toxic.STATES))
+    mask = np.arange(30) < rng.integers(1, 31, 40)[:, None]
+    trans = rng.normal(0, 4, (p6_toxic.STATES, p6_toxic.STATES))
+    assert np.allclose(p6_toxic._marginals(s, mask, trans)[mask], p6_toxic._forward_backward(s, mask, trans)[0][mask], atol=1e-9)
+
+
 def test_chance_of_frequent_runs():
     assert p6_toxic._tail(3, 3, 0.1) == pytest.approx(1e-3) and p6_toxic._tail(150, 200, 0.7) == pytest.approx(0.0695, abs=2e-3)
     assert p6_toxic._tail(290, 300, 0.95) > 0.05 > p6_toxic._tail(290, 300, 0.5)

@@ -219,8 +219,7 @@ class Field:
         length = np.diff(ends)
         for group in _groups(length[np.argsort(length, kind="stable")], np.argsort(length, kind="stable")):
             at, mask = _padded(ends, group)
-            p, _, _ = _forward_backward(score[at], mask, self.trans)
-            out[at[mask]] = p[mask][:, 1:]
+            out[at[mask]] = _marginals(score[at], mask, self.trans)[mask][:, 1:]
         return out, ends
 
 
@@ -267,6 +266,25 @@ def _forward_backward(s: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tup
     return p * mask[:, :, None], pair, log_z
 
 
+def _marginals(s: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Marginals (sentence, step, state) of padded scores: forward and backward passes over probabilities that are scaled at each step, without logarithms."""
+    e = np.ascontiguousarray(np.exp(s.astype(np.float64) - s.max(2, keepdims=True)).transpose(1, 0, 2))
+    a = np.exp(trans - trans.max())
+    inside = np.ascontiguousarray(mask.T)[:, :, None]
+    alpha, beta = np.empty_like(e), np.ones_like(e)
+    alpha[0] = e[0] / e[0].sum(1, keepdims=True)
+    for i in range(1, len(e)):
+        x = (alpha[i - 1] @ a) * e[i]
+        x /= x.sum(1, keepdims=True)
+        alpha[i] = np.where(inside[i], x, alpha[i - 1])
+    for i in range(len(e) - 2, -1, -1):
+        x = (e[i + 1] * beta[i + 1]) @ a.T
+        x /= x.sum(1, keepdims=True)
+        beta[i] = np.where(inside[i + 1], x, 1.0)
+    p = alpha * beta
+    return (p / p.sum(2, keepdims=True)).transpose(1, 0, 2)
+
+
 def train(sents: list[list[str]], tags: list[np.ndarray], rounds: int = ROUNDS, l2: float = 2e-4) -> Field:
     """Adagrad on mini-batches of the penalised likelihood."""
     x, ends = features(sents)
