@@ -6,6 +6,8 @@ import string
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from turnmill.functions import native as N
@@ -93,3 +95,19 @@ def test_java_and_python_agree(spark, name):
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("m"))
     for r in df.collect():
         assert r["m"] == [m[0] for m in re.finditer(p, r["text"])], r["text"]
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet="1aF:", max_size=24) | st.lists(st.sampled_from(["1", "ab", "FFFF", "12345", "", "", ":"]), max_size=10).map(":".join))
+def test_ipv6_is_groups_with_one_gap(run):
+    def address(x):
+        left, gap, right = x.partition("::")
+        groups = [*(left.split(":") if left else []), *(right.split(":") if right else [])]
+        return all(re.fullmatch("[0-9A-Fa-f]{1,4}", g) for g in groups) and (len(groups) <= 7 if gap else len(groups) == 8)
+
+    assert (re.search(P.IPV6, f"({run})") is not None) == (bool(run) and address(run)), run
+
+
+def test_street_names_of_any_number_of_words():
+    long = "12 " + "Very " * 40 + "Long Street"
+    assert S.scrub(f"at {long} now") == "at [ADDRESS] now"

@@ -114,3 +114,49 @@ def test_batches_written_and_read(spark, tmp_path):
     index = spark.createDataFrame([("data/batch_2025-01-01_ab12.jsonl", 1), ("data/other.jsonl", 2)], "file string, n int")
     left, done = sinks.purge_batches(index, index.select("file"))
     assert [r["n"] for r in left.collect()] == [2] and {r["file"]: r["deleted"] for r in done.collect()}["data/other.jsonl"] is False
+
+
+def test_import_of_several_exports(spark, tmp_path):
+    say = lambda q, a: json.dumps({"messages": [{"role": "user", "content": q}, {"role": "assistant", "content": a}]})
+    one, two = tmp_path / "one.jsonl", tmp_path / "two.jsonl"
+    one.write_text("\n".join([say("q", "a"), say("q", "a"), say("only", ""), "{cut"]))
+    two.write_text(say("q", "a") + "\n" + say("x" * (1 << 21), "long"))  # a first line of its own, and one over 2 MiB
+    other = tmp_path / "other.bin"
+    other.write_text("?")
+    paths = [str(one), str(two), str(other), str(tmp_path / "missing.jsonl")]
+    r = importer.import_exports(spark, paths)
+    new = r.exchanges.collect()
+    assert len(new) == 2 and len({x["id"] for x in new}) == 2 and len({x["session_id"] for x in new}) == 2 and all(x["session_id"].startswith("import-") and x["status"] == "raw" for x in new)
+    request, response = json.loads(new[0]["request_json"]), json.loads(new[0]["response_json"])
+    assert request["messages"][0]["role"] == "user" and response["choices"][0]["message"]["role"] == "assistant"
+    stats = {x["file"].rsplit("/", 1)[1]: tuple(x)[1:] for x in r.statistics.collect()}
+    assert stats == {"one.jsonl": (1, 1, 1, 1), "two.jsonl": (1, 0, 1, 0)}
+    assert len({x["file"] for x in r.errors.collect()}) == 3
+    dry = importer.import_exports(spark, paths, dry_run=True)
+    assert dry.exchanges is None and sorted(map(tuple, dry.statistics.collect())) == sorted(map(tuple, r.statistics.collect()))
+    again = importer.import_exports(spark, paths, store=r.exchanges)
+    assert again.exchanges.count() == 0 and {tuple(x)[1:] for x in again.statistics.collect()} == {(0, 1, 2, 1), (0, 0, 2, 0)}
+
+
+def test_first_lines_of_any_length_are_recognised(tmp_path):
+    p = tmp_path / "long.jsonl"
+    p.write_text(json.dumps({"messages": [{"role": "user", "content": "é" * (1 << 21)}]}) + "\n", encoding="utf-8")
+    assert formats.detect_format(str(p)) == "messages_jsonl"
+
+
+def test_gzip_level_has_an_effect(spark, tmp_path):
+    df = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("text"), F.lit("2025-01-01").alias("day")).coalesce(1)
+    sinks.write_batches(df, str(tmp_path / "fast"), "day")
+    df.withColumn("date", F.col("day")).write.partitionBy("date").option("compression", "gzip").json(str(tmp_path / "plain"))
+    size = lambda d: sum(f.stat().st_size for f in (tmp_path / d).rglob("*.gz"))
+    assert size("fast") > size("plain")
+
+
+def test_update_streams_give_the_last_counts(spark, tmp_path):
+    src = tmp_path / "in"
+    rows_ = [(dt.datetime(2025, 1, 1, h, m), k) for h in range(3) for m in range(0, 60, 20) for k in ("a", "b", None)]
+    df = spark.createDataFrame(rows_, "ts timestamp, key string")
+    df.repartition(4).write.parquet(str(src))
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    got = windows.run_updates(windows.counts(s, "ts", "1 hour", "5 hours", "key"), str(tmp_path / "out"), str(tmp_path / "check"), ["key", "window_start"])
+    assert sorted(((r["key"] or "", r["window_start"].hour, r["n"]) for r in got.collect())) == sorted((k, h, 3) for k in ("", "a", "b") for h in range(3))

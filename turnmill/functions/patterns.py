@@ -91,7 +91,9 @@ PHONE_INTL = r"\+\d{1,3}[-.\s]?\d(?:[-.\s]?\d){6,13}"
 OCTET = r"(?:0{0,2}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]))"
 IPV4 = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
 HEX = "[0-9A-Fa-f]{1,4}"
-IPV6 = "(?<![:.\\w])(?:" + "|".join([f"(?:{HEX}:){{7}}{HEX}", f"(?:{HEX}:){{1,7}}:", *(f"(?:{HEX}:){{1,{7 - k}}}(?::{HEX}){{1,{k}}}" if k > 1 else f"(?:{HEX}:){{1,6}}:{HEX}" for k in range(1, 6)), f"{HEX}:(?::{HEX}){{1,6}}", f":(?:(?::{HEX}){{1,7}}|:)"]) + ")(?![:.\\w])"
+# Eight groups, or at most seven with one gap ("::") before, between or behind them.
+_RUN = "[0-9A-Fa-f:]*"
+IPV6 = rf"(?<![:.\w])(?:(?:{HEX}:){{7}}{HEX}|(?={_RUN}::)(?!{_RUN}(?:::{_RUN}::|:::))(?:::)?(?:{HEX}::?){{0,6}}(?:{HEX}(?:::)?)?(?<![^:]:))(?![:.\w])"
 STREETS = "Street|St|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Road|Rd|Lane|Ln|Way|Court|Ct|Place|Pl|Circle|Cir|Trail|Trl|Parkway|Pkwy|Highway|Hwy"
 ADDRESS = rf"(?i)\b\d{{1,6}}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,12}}\s+(?:{STREETS})\b\.?"
 STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY"

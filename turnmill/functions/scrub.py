@@ -64,7 +64,9 @@ def looks_benign(token: str, words: frozenset[str]) -> bool:
 _INVISIBLE = re.compile(P.INVISIBLE_CLASS + "+")
 _VENDOR, _BLOCK, _PATHS = ([re.compile(p) for p in ps] for ps in (P.VENDOR, P.BLOCK, P.PATHS))
 _BASE64, _DOTTED, _GENERIC, _URLISH, _SEGMENT, _URL, _CARD, _IPV6 = (re.compile(p) for p in (P.BASE64, P.DOTTED, P.GENERIC, P.URLISH, P.SEGMENT, P.URL, P.CARD, P.IPV6))
-_STRUCTURED = [(re.compile(p), tag) for p, tag in ((P.EMAIL, "[EMAIL]"), (P.SSN, "[SSN]"), (P.PHONE, "[PHONE]"), (P.PHONE_INTL, "[PHONE]"), (P.IPV4, "[IP]"), (P.ADDRESS, "[ADDRESS]"), (P.STATE_ZIP, "[LOCATION]"))]
+#: Street names of any number of words: only Java's engine needs a bound.
+_ADDRESS = P.ADDRESS.replace("{0,12}", "*")
+_STRUCTURED = [(re.compile(p), tag) for p, tag in ((P.EMAIL, "[EMAIL]"), (P.SSN, "[SSN]"), (P.PHONE, "[PHONE]"), (P.PHONE_INTL, "[PHONE]"), (P.IPV4, "[IP]"), (_ADDRESS, "[ADDRESS]"), (P.STATE_ZIP, "[LOCATION]"))]
 
 
 def _random(token: str, kind: str, words: frozenset[str]) -> bool:
@@ -97,7 +99,7 @@ _VENDOR_NEED = ("sk-", "sk-ant-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "githu
 _BLOCK_NEED = (("private key",), ("private key",), ("private key",), ("private key",), ("://",), ("authorization:",), ("accountkey=",), ("sharedaccesskey=",), ("token", "key", "secret", "password", "passwd"), ("private",), ("signature=",), ("sig=",))
 _PATH_NEED = ("/users/", "/home/", "c:\\users\\", "/root")
 _LONG = re.compile(r"[A-Za-z0-9+/._=-]{24}")
-_LOOKS = {p: re.compile(q) for p, q in ((P.EMAIL, "@"), (P.SSN, r"\d-\d\d-\d"), (P.PHONE, r"\d\d\d\)?[-.\s]?\d\d\d[-.\s]?\d\d\d\d"), (P.PHONE_INTL, r"\+\d"), (P.IPV4, r"\d\.\d{1,3}\.\d"), (P.ADDRESS, r"\d\s+[A-Za-z]"), (P.STATE_ZIP, r"[A-Z]\s+\d{5}"))}
+_LOOKS = {p: re.compile(q) for p, q in ((P.EMAIL, "@"), (P.SSN, r"\d-\d\d-\d"), (P.PHONE, r"\d\d\d\)?[-.\s]?\d\d\d[-.\s]?\d\d\d\d"), (P.PHONE_INTL, r"\+\d"), (P.IPV4, r"\d\.\d{1,3}\.\d"), (_ADDRESS, r"\d\s+[A-Za-z]"), (P.STATE_ZIP, r"[A-Z]\s+\d{5}"))}
 _CARD_LOOK, _IPV6_LOOK = re.compile(r"\d(?:[ -]?\d){12}"), re.compile(r":[0-9A-Fa-f]{0,4}:")
 
 

@@ -45,6 +45,21 @@ def _pattern(names: tuple[str, ...]) -> re.Pattern:
     return re.compile(rf"\b{one}(?: {one})*\b")
 
 
+@dataclass(frozen=True)
+class Nothing:
+    """The backend of a chain without entities."""
+
+    has_model: bool = False
+
+    def find(self, text: str) -> list[tuple[str, int, int, float]]:
+        return []
+
+
+def backend(model: Backend | None = None, names: tuple[str, ...] = ()) -> Backend:
+    """The backend to use: a model if there is one, else the known names, else none."""
+    return model or (Gazetteer(tuple(sorted(names))) if names else Nothing())
+
+
 TAGS = {"PERSON": "NAME", "LOCATION": "LOCATION", "DATE_TIME": "DATE", "NRP": "GROUP"}
 
 

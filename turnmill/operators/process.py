@@ -38,6 +38,12 @@ def composite(*checks: Column) -> Column:
     return F.coalesce(*checks)
 
 
+def content_filter(texts: Column, rules: S.Blocklist | None = None, scores: dict[str, Column] | None = None) -> Column:
+    """The filter to use: the blocklist first, then, where scores of a model are there, the ladder of thresholds."""
+    listed = S.check_all_udf(rules or S.Blocklist.load())(texts)
+    return listed if not scores else composite(listed, N.ladder(scores))
+
+
 def process(exchanges: DataFrame, rules: S.Blocklist | None = None, backend: Backend | None = None, has_ner: bool = False, filter_: Column | None = None) -> DataFrame:
     """exchanges (of status raw) with ``disposition`` (processed or skipped), ``reason``, ``scrubbed_turns``, ``turn_count``, ``language``, ``quality_signals`` and ``ner_scrubbed``."""
     d = dispositions(exchanges.where("status = 'raw'"), rules, filter_)

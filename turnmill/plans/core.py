@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnmill.functions import native as N
 from turnmill.functions import patterns as P
@@ -12,7 +13,7 @@ from turnmill.operators import audit as A
 from turnmill.operators import lifecycle as L
 from turnmill.operators import ner, process, rates, scoring
 from turnmill.operators import turns as T
-from turnmill.plans import planted
+from turnmill.plans import corpus, planted
 from turnmill.plans.registry import Registry
 from turnmill.session import small
 
@@ -522,6 +523,18 @@ def toxicity_ladder(t):
     return s.select("id", out.alias("category")).where("category is not null")
 
 
+def _seven_sql() -> str:
+    score = lambda i: f"(('0x' || substr(md5(id), {2 * i + 1}, 2))::INT / 255.0)"
+    return "SELECT id, CASE " + " ".join(f"WHEN {score(i)} > {t} THEN 'ml_{c}'" for i, (c, t) in enumerate(P.TOXICITY)) + " END AS category FROM staged"
+
+
+@add("toxicity_ladder_scores", _seven_sql())
+def toxicity_ladder_scores(t):
+    """The ladder's seven thresholds in order, on scores made of the id's hash: no model is installed."""
+    score = lambda i: F.conv(F.substring(F.md5("id"), 2 * i + 1, 2), 16, 10).cast("int") / 255.0
+    return t("staged").select("id", N.ladder({c: score(i) for i, (c, _) in enumerate(P.TOXICITY)}).alias("category"))
+
+
 @add("name_numbering", r"""
 WITH m AS (SELECT line_no, i AS turn, messages[i + 1].content AS text FROM sample_messages, range(0, 100) r(i) WHERE i < len(messages)),
 w AS (SELECT line_no, turn, string_split_regex(text, '[^\p{L}\p{M}\p{Nd}_-]+') AS ws FROM m WHERE text IS NOT NULL),
@@ -652,6 +665,15 @@ def contributions_per_key(t):
     return t("documents").groupBy("contributor").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.min("added_at").alias("first_at"), F.max("added_at").alias("last_at"))
 
 
+@add("contributor_files", "WITH r AS (SELECT contributor, doc_id, row_number() OVER (PARTITION BY contributor ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY contributor) AS files FROM documents) SELECT contributor, files, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS first_files FROM r WHERE n <= 20 GROUP BY ALL")
+def contributor_files(t):
+    """Files of each contributor: how many, and a page of the first 20. The page is a limit within groups, which is taken before the shuffle."""
+    d = t("documents").select("contributor", "doc_id")
+    first = d.withColumn("n", F.row_number().over(Window.partitionBy("contributor").orderBy("doc_id"))).where("n <= 20")
+    page = first.groupBy("contributor").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("first_files"))
+    return d.groupBy(F.col("contributor").alias("c")).agg(F.count("*").alias("files")).join(page, F.col("c").eqNullSafe(F.col("contributor"))).select("contributor", "files", "first_files")
+
+
 # ---------------------------------------------------------------- lifecycle, publishing
 
 
@@ -782,32 +804,36 @@ def tree_active_branch(t):
 # ---------------------------------------------------------------- scores, streams
 
 
-def corpus(spark):
-    """Invented cases of the corpus's shape."""
-    one = lambda i, text, spans, guard=(): (i, text, [(k, v, text.index(v), text.index(v) + len(v)) for k, v in spans], list(guard))
-    return spark.createDataFrame(
-        [
-            one("mail", "write to ann@site.example today", [("email", "ann@site.example")]),
-            one("key", "use ghp_" + "a1B2" * 9 + " there", [("secret/github", "ghp_" + "a1B2" * 9)]),
-            one("phone", "call 415-555-0132 now", [("phone", "415-555-0132")]),
-            one("name", "ask Tilda about it", [("name", "Tilda")]),
-            one("sha", "commit 9fceb02d0ae598e95dc970b74767f19372d61af8 broke it", [], ["9fceb02d0ae598e95dc970b74767f19372d61af8"]),
-            one("scope", "std::vector and dead::beef are fine", [], ["std::vector", "dead::beef"]),
-        ],
-        scoring.CASE,
-    )
+def _score_sql(scope: str) -> str:
+    """Score of the plain scanner on the corpus."""
+    out = "input"
+    for p in scoring.PLAIN:
+        out = f"regexp_replace({out}, {sql(p)}, '[REDACTED]', 'g')"
+    return f"""WITH c AS (SELECT *, {out} AS out FROM (VALUES {corpus.values()}) v(id, input, kind, value, guard, sensitive)),
+h AS (SELECT count(*) FILTER (NOT contains(out, value)) AS hits, count(*) AS total FROM c WHERE value IS NOT NULL AND {scope}),
+g AS (SELECT id, bool_or((NOT sensitive AND out <> input) OR NOT contains(out, guard)) AS bad FROM c WHERE guard IS NOT NULL GROUP BY 1), k AS (SELECT count(*) FILTER (bad) AS false_positives, count(*) AS guards FROM g)
+SELECT hits, total, CASE WHEN total > 0 THEN floor(100 * hits / total)::BIGINT END AS recall_pct, false_positives, guards, CASE WHEN guards > 0 THEN floor(100 * false_positives / guards)::BIGINT END AS over_redaction_pct FROM h, k"""
+
+
+def _scored(s):
+    return s.select(*(F.col(c).cast("long").alias(c) for c in ("hits", "total", "recall_pct", "false_positives", "guards", "over_redaction_pct")))
 
 
-@add("scanner_score", "SELECT 3 AS hits, 4 AS total, 75 AS recall_pct, 0 AS false_positives, 2 AS guards, 0 AS over_redaction_pct")
+@add("scanner_score")
 def scanner_score(t):
-    s = scoring.score(corpus(t("region").sparkSession), S.scrub_udf("input"))
-    return s.select(*(F.col(c).cast("int").alias(c) for c in ("hits", "total", "recall_pct", "false_positives", "guards", "over_redaction_pct")))
+    """Of the scrub chain, which has no SQL; tests hold it against a loop."""
+    return _scored(scoring.score(corpus.frame(t("region").sparkSession), S.scrub_udf("input")))
+
+
+for _scope, _where in {"all": "true", "secret": "kind LIKE 'secret/%'", "pii": "kind NOT LIKE 'secret/%'"}.items():
+    add(f"plain_scanner_score_{_scope}", _score_sql(_where))(lambda t, scope=_scope: _scored(scoring.score(corpus.frame(t("region").sparkSession), scoring.plain_scrub(F.col("input")), scope)))
 
 
-@add("plain_scanner_score", "SELECT 3 AS hits, 4 AS total, 75 AS recall_pct, 0 AS false_positives, 2 AS guards, 0 AS over_redaction_pct")
-def plain_scanner_score(t):
-    s = scoring.score(corpus(t("region").sparkSession), scoring.plain_scrub(F.col("input")))
-    return s.select(*(F.col(c).cast("int").alias(c) for c in ("hits", "total", "recall_pct", "false_positives", "guards", "over_redaction_pct")))
+@add("corpus_problems", f"""WITH c AS (SELECT DISTINCT id, input, value, guard FROM (VALUES {corpus.values()}) v(id, input, kind, value, guard, sensitive))
+SELECT count(*) FILTER (value IS NOT NULL AND NOT contains(input, value)) + count(*) FILTER (guard IS NOT NULL AND NOT contains(input, guard)) AS problems, count(DISTINCT id) AS cases FROM c""")
+def corpus_problems(t):
+    c = corpus.frame(t("region").sparkSession)
+    return scoring.problems(c).agg(F.count("*").alias("problems")).crossJoin(c.agg(F.count_distinct("id").alias("cases")))  # one row each
 
 
 @add("upload_routes", OUTCOME + " SELECT CASE WHEN status IN (200, 409) THEN 'ok' WHEN status IN (400, 413, 422) THEN 'rejected' WHEN status IN (401, 403) THEN 'auth' WHEN status = 503 THEN 'ner_unavailable' WHEN status = 429 THEN 'rate_limited' ELSE 'error' END AS outcome, count(*) AS n FROM o GROUP BY 1")
