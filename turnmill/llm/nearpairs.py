@@ -39,6 +39,8 @@ MOSTLY_RARE, COARSE = 0.25, 4
 #: Classes under one key, or members of one class, from which they are joined in blocks; candidates of a class from which its set goes to several tasks.
 HOT = 2000
 HUB = 5000
+#: Pairs up to which their classes are broadcast without being measured, and no class is looked at as a hub (one task could do them all).
+FEW_PAIRS = 50_000
 #: Keys a range, about.
 RANGE_KEYS = 2_000_000
 KEYS_A_SET = 120
@@ -399,11 +401,15 @@ def likeness(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return both / np.maximum(1, nx + ny - both)
 
 
-def _with(pairs: DataFrame, side: str, other: str, table: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """pairs with columns (name: new name) of the class in column ``side``. What a class in more than HUB pairs has is copied, once for each HUB of them."""
+def _with(pairs: DataFrame, side: str, other: str, table: DataFrame, columns: dict[str, str], few: bool) -> DataFrame:
+    """pairs with columns (name: new name) of the class in column ``side``. What a class in more than HUB pairs has is copied, once for each HUB of them; of few pairs nothing is."""
+    names = [F.col("cid").alias(side), *(F.col(c).alias(n) for c, n in columns.items())]
+    if few:
+        asked = F.broadcast(pairs.select(F.col(side).alias("cid")).distinct())
+        return pairs.join(table.select("cid", *columns).join(asked, "cid", "left_semi").dropDuplicates(["cid"]).select(*names), side)
     need = written(pairs.groupBy(F.col(side).alias("cid")).count(), "need")
     # few enough classes are sent to the table; else the table is shuffled
-    one = table.select("cid", *columns).join(small(need.select("cid")), "cid", "left_semi").dropDuplicates(["cid"]).select(F.col("cid").alias(side), *(F.col(c).alias(n) for c, n in columns.items()))
+    one = table.select("cid", *columns).join(small(need.select("cid")), "cid", "left_semi").dropDuplicates(["cid"]).select(*names)
     hubs = need.where(f"count > {HUB}").select(F.col("cid").alias(side), (F.col("count") / HUB).cast("int").alias("_more"))
     if not hubs.limit(1).count():
         return pairs.join(one, side)
@@ -438,9 +444,11 @@ def verified(pairs: DataFrame, table_a: DataFrame, table_b: DataFrame, threshold
                 ok = pa.array(np.flatnonzero(s >= threshold))
                 yield pa.RecordBatch.from_arrays([p["a"].take(ok), p["b"].take(ok), pa.array(s).take(ok)], ["a", "b", "likeness"])
 
-    seen = _with(_with(pairs, "a", "b", table_a, {"n": "n", "bits": "x"}), "b", "a", table_b, {"n": "m", "bits": "y"})
+    few = pairs.count() <= FEW_PAIRS
+    seen = _with(_with(pairs, "a", "b", table_a, {"n": "n", "bits": "x"}, few), "b", "a", table_b, {"n": "m", "bits": "y"}, few)
     left = written(seen.select("a", "b", "n", "m", "x", "y").mapInArrow(possible, "a long, b long"), "possible")
-    joined = _with(_with(left, "a", "b", table_a, {"sh": "x"}), "b", "a", table_b, {"sh": "y"})
+    few = few or left.count() <= FEW_PAIRS
+    joined = _with(_with(left, "a", "b", table_a, {"sh": "x"}, few), "b", "a", table_b, {"sh": "y"}, few)
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, likeness double")
 
 
@@ -465,12 +473,13 @@ def _over_blocks(links: DataFrame, cid: str, blk: str, hot: DataFrame | None) ->
 
 
 def paired(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(tbl, i, j): the members of each two linked classes (a, b); a class may be linked with itself. left, right: ``members``."""
-    l, lh = _spread(left.select("tbl", "id", F.col("cid").alias("a")), "a", "p")
-    r, rh = _spread(right.select("id", F.col("cid").alias("b")), "b", "q")
+    """(tbl, i, j, same): the members of each two linked classes (a, b); a class may be linked with itself. left, right: ``members``; further columns of theirs follow."""
+    more = [c for c in left.columns if c not in ("tbl", "id", "cid")]
+    l, lh = _spread(left.select("tbl", "id", F.col("cid").alias("a"), *(F.col(c).alias(f"_l_{c}") for c in more)), "a", "p")
+    r, rh = _spread(right.select("id", F.col("cid").alias("b"), *(F.col(c).alias(f"_r_{c}") for c in more)), "b", "q")
     p = _over_blocks(_over_blocks(links.select("a", "b"), "a", "p", lh), "b", "q", rh)
     p = p.join(l.withColumnRenamed("id", "i"), ["a", "p"]).join(r.withColumnRenamed("id", "j"), ["b", "q"])
-    return p.select("tbl", "i", "j", F.col("a") == F.col("b"))
+    return p.select("tbl", "i", "j", F.col("a") == F.col("b"), *(f"_l_{c}" for c in more), *(f"_r_{c}" for c in more))
 
 
 def expanded(feats: DataFrame, links: DataFrame) -> DataFrame:
