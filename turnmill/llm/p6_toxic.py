@@ -467,8 +467,11 @@ def scores(staged: DataFrame, labels: DataFrame, flag_terms: DataFrame) -> DataF
                         rec, turn, k = where[s]
                         c = int(top[s].argmax())
                         hit = np.flatnonzero(m[ends[s] : ends[s + 1], c] >= THRESHOLD)
-                        words = located(contents[rec][turn])[k]
-                        spans[rec].append({"turn_no": turn, "start": words[hit[0]][0], "end": words[hit[-1]][1], "category": CATEGORIES[c]})
+                        words = located(contents[rec][turn])
+                        # where a letter's lower case would part words otherwise, the whole turn is the place
+                        fits = k < len(words) and len(words[k]) == ends[s + 1] - ends[s]
+                        a, z = (words[k][hit[0]][0], words[k][hit[-1]][1]) if fits else (0, len(contents[rec][turn]))
+                        spans[rec].append({"turn_no": turn, "start": a, "end": z, "category": CATEGORIES[c]})
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(pa.array(best[:, c]) for c in range(len(CATEGORIES))), pa.array(spans, kind)], ["staged_id", *CATEGORIES, "spans"])
 
     return staged.where("id is not null").select("id", "scrubbed_turns").mapInArrow(run, schema)
